@@ -4,6 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .bpe import round_trip_digests
+from .decontaminate import decontaminate
+from .neardup import near_duplicates
 from .quality import quality_rules
 
 
@@ -15,7 +18,25 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(_table(spark, sf_dir, "documents")).drop("cleaned_text")
 
 
+def op1_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    ranks = public_tokenizers.path("byte_bpe_50k.tiktoken")
+    return round_trip_digests(_table(spark, sf_dir, "documents"), ranks, public_tokenizers.PATTERN)
+
+
+def op2_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(_table(spark, sf_dir, "documents"))
+
+
+def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark")).drop("items")
+
+
 QUERIES = {
+    "op1_byte_bpe": op1_byte_bpe,
+    "op2_near_duplicates": op2_near_duplicates,
+    "op9_decontaminate": op9_decontaminate,
     "op10_quality_rules": op10_quality_rules,
 }
 
