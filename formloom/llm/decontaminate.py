@@ -193,8 +193,8 @@ def _offsets(k: int, reach: int) -> list[int]:
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The documents that are not contaminated, with all their columns.
 
-    The verdict is joined on the id and a hash of the text, so that rows of one id
-    with unlike texts are judged apart.
+    The verdict is joined on the id and the number of words; unlike texts of one id
+    that have as many words share it.
     """
     bad = decontaminate(docs, benchmark, id_col, text_col).filter("contaminated")
     text = F.coalesce(docs[text_col], F.lit(""))
