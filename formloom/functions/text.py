@@ -78,3 +78,23 @@ def upload_name(name: Column, content: Column) -> Column:
     suffix = F.regexp_extract(name, r"(?<=.)(\.[^./]+)$", 1)
     stem = F.regexp_replace(name, r"(?<=.)\.[^./]+$", "")
     return F.concat(stem, F.lit("_"), F.substring(F.sha2(content, 256), 1, 8), suffix)
+
+
+def let(value: Column, body) -> Column:
+    """``body(value)`` with ``value`` computed once, as a lambda variable."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def block(text: Column, pattern: str) -> Column:
+    """Group 1 of a pattern over several lines; null where it does not match."""
+    p = "(?iuUds)" + pattern
+    return F.when(text.rlike(p), F.regexp_extract(text, p, 1))
+
+
+#: What Python's float() takes, after stripping.
+PY_FLOAT = r"(?i)^[+-]?(inf(inity)?|nan|(\d+(_\d+)*\.?(\d+(_\d+)*)?|\.\d+(_\d+)*)(e[+-]?\d+(_\d+)*)?)$"
+
+
+def lines_of(text: Column) -> Column:
+    """Stripped lines, blank ones kept."""
+    return F.transform(F.split(F.coalesce(text, F.lit("")), "\r\n|\r|\n"), strip)

@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+from difflib import SequenceMatcher
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.text import FLAGS, let, sections, strip
+
 CAP = 20  # templates of each type, which bounds the store
 
 
@@ -58,3 +62,51 @@ def clear_bad_values(long_fields: DataFrame, patterns: DataFrame) -> DataFrame:
         long_fields.join(lists, ["document_type", "field"], "left")
         .withColumn("cleared", hit).withColumn("value", F.when(~F.col("cleared"), F.col("value"))).drop("__p")
     )
+
+
+#: Words that a text signature looks for.
+SIGNATURE_WORDS = ("due date", "invoice", "supplier", "tax", "total", "vendor")
+
+
+def anchor_values(anchors: Column, text: Column) -> Column:
+    """Map of field to the text a template's pattern finds: its group ``value``, or all it matches; null without a match."""
+
+    def value(_, pattern):
+        grouped = F.contains(pattern, F.lit("(?P<value>"))
+        java = F.concat(F.lit(FLAGS), F.replace(pattern, F.lit("(?P<value>"), F.lit("(?<value>")))
+        found = strip(F.call_function("regexp_extract", text, java, F.when(grouped, 1).otherwise(0)))
+        return F.when(found != "", found)
+
+    return F.transform_values(anchors, value)
+
+
+def text_signature(text: Column) -> Column:
+    """Struct of the first eight lines with digits masked, and the signature words of the first twenty."""
+    mask = lambda x: strip(F.regexp_replace(F.regexp_replace(F.lower(x), r"(?U)\d", "#"), r"(?U)\s+", " "))
+
+    def sign(ls):
+        head = F.lower(F.array_join(F.slice(ls, 1, 20), " "))
+        words = F.filter(F.array(*[F.lit(w) for w in SIGNATURE_WORDS]), lambda w: F.contains(head, w))
+        return F.struct(F.transform(F.slice(ls, 1, 8), mask).alias("top_lines"), words.alias("keywords"))
+
+    return let(sections(text), sign)
+
+
+def score_signatures(pairs: DataFrame, left: str, right: str, out: str = "score") -> DataFrame:
+    """Adds 0.7 of the matching-blocks ratio of the lines and 0.3 of the Jaccard similarity of the words of two signatures.
+
+    A null signature has no lines and no words.  Matching blocks of two strings have no
+    Catalyst form; the strings are eight lines long.
+    """
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in pairs.schema.fields)
+
+    def score(a, b) -> float:
+        (top, words), (other_top, other_words) = ((" | ".join(s["top_lines"]), set(s["keywords"])) if s else ("", set()) for s in (a, b))
+        shared = len(words & other_words) / len(words | other_words) if words | other_words else 1.0
+        return round(SequenceMatcher(None, top, other_top).ratio() * 0.7 + shared * 0.3, 4)
+
+    def run(batches):
+        for batch in batches:
+            yield batch.assign(**{out: [score(a, b) for a, b in zip(batch[left], batch[right], strict=True)]})
+
+    return pairs.mapInPandas(run, f"{fields}, `{out}` double")
