@@ -7,8 +7,10 @@ conversation whose unquoted text holds that passage as a run of whole lines or a
 the whole message; the latest earlier message wins.  A turn without a link answers
 the turn before it.  Conversations are built in reply order without the quotes.
 
-Conversations are keyed by ``conv_id`` and a turn's links never leave its
-conversation, so joins are on (conversation, passage hash).
+Messages post the runs of their lines that are as long as some passage of their
+conversation.  The latest earlier message is found per (conversation, hash) by a
+running maximum over blocks of turns, not by pairs, so a passage that many turns
+state and many quote costs no more than its rows.
 
 Defined results for odd input: a null or empty text is a turn without text; rows
 with a null conversation or turn keep their text and have no parent; of repeated
@@ -44,23 +46,30 @@ def _lines(text: Column) -> Column:
 
 
 def _passages(lines: Column) -> Column:
-    """Hashes of the quoted passages: adjacent lines of one depth, outermost depth last."""
-    grouped = F.aggregate(
-        lines,
-        F.struct(F.lit(0).alias("depth"), F.lit("").alias("open"), F.array().cast("array<string>").alias("done")),
-        lambda acc, x: F.when(
-            x["depth"] == acc["depth"],
-            F.struct(acc["depth"].alias("depth"), F.concat(acc["open"], _normal(x["body"])).alias("open"), acc["done"].alias("done")),
-        ).otherwise(
-            F.struct(
-                x["depth"].alias("depth"),
-                _normal(x["body"]).alias("open"),
-                F.when(acc["depth"] > 0, F.array_append(acc["done"], acc["open"])).otherwise(acc["done"]).alias("done"),
-            )
+    """(n, hash) of the quoted passages, adjacent lines of one depth; n counts the lines with a letter or digit."""
+
+    def passage(start: Column, stop: Column) -> Column:
+        bodies = F.transform(F.slice(lines, start, stop - start), lambda x: _normal(x["body"]))
+        return let(
+            F.filter(bodies, lambda x: x != ""),
+            lambda x: F.struct(F.size(x).alias("n"), F.xxhash64(F.array_join(x, "")).alias("hash")),
+        )
+
+    depths = F.transform(lines, lambda x: x["depth"])
+    found = let(
+        depths,
+        lambda d: let(
+            F.filter(F.sequence(F.lit(1), F.size(d)), lambda i: (i == 1) | (F.get(d, i - 1) != F.get(d, i - 2))),
+            lambda starts: F.filter(
+                F.transform(
+                    starts,
+                    lambda s, j: F.when(F.get(d, s - 1) > 0, passage(s, F.coalesce(F.get(starts, j + 1), F.size(d) + 1))),
+                ),
+                lambda p: p["n"] > 0,
+            ),
         ),
-        lambda acc: F.when(acc["depth"] > 0, F.array_append(acc["done"], acc["open"])).otherwise(acc["done"]),
     )
-    return F.array_distinct(F.transform(F.filter(grouped, lambda p: p != ""), lambda p: F.xxhash64(p)))
+    return F.array_distinct(found)
 
 
 def link_turns(
@@ -71,30 +80,26 @@ def link_turns(
         turns[conv_col].alias("conv_id"), turns[turn_col].alias("turn"), turns[role_col].alias("role"),
         let(_lines(turns[text_col]), lambda x: F.struct(
             F.trim(F.array_join(F.transform(F.filter(x, lambda y: y["depth"] == 0), lambda y: y["body"]), "\n")).alias("content"),
-            F.transform(F.filter(x, lambda y: y["depth"] == 0), lambda y: _normal(y["body"])).alias("own"),
-            F.when(F.exists(x, lambda y: y["depth"] > 0), _passages(x)).otherwise(F.array().cast("array<bigint>")).alias("quotes"),
+            F.filter(F.transform(F.filter(x, lambda y: y["depth"] == 0), lambda y: _normal(y["body"])), lambda y: y != "").alias("own"),
+            F.when(F.exists(x, lambda y: y["depth"] > 0), _passages(x)).otherwise(F.array().cast("array<struct<n:int,hash:bigint>>")).alias("quotes"),
         )).alias("m"),
     ).select("conv_id", "turn", "role", "m.content", "m.own", "m.quotes")
     keyed = "conv_id is not null and turn is not null"
-    quotes = rows.filter(keyed).select("conv_id", "turn", F.explode("quotes").alias("passage")).distinct()
-    # What a message may be quoted by: each of its lines, and all of it.
-    own = F.array_distinct(
-        F.transform(
-            F.filter(F.array_append("own", F.array_join("own", "")), lambda x: x != ""), lambda x: F.xxhash64(x)
-        )
-    )
+    quotes = rows.filter(keyed).select("conv_id", "turn", F.explode("quotes").alias("q")).select("conv_id", "turn", "q.n", "q.hash").distinct()
+    # What a message may be quoted by: the runs of its lines as long as a passage of its conversation, and all of it.
     # A conversation without quotes posts nothing, however long it is.
-    quoting = quotes.select("conv_id").distinct()
-    originals = (
-        rows.filter(keyed).join(quoting, "conv_id", "left_semi")
-        .select("conv_id", F.col("turn").alias("from_turn"), F.explode(own).alias("passage"))
-        .distinct()
+    lengths = quotes.select("conv_id", "n").distinct()
+    stated = rows.filter(keyed).filter(F.size("own") > 0).select("conv_id", "turn", "own")
+    runs = (
+        stated.join(lengths, "conv_id").filter(F.col("n") <= F.size("own"))
+        .select("conv_id", "turn", F.explode(F.transform(
+            F.sequence(F.lit(1), F.size("own") - F.col("n") + 1), lambda i: F.xxhash64(F.array_join(F.slice("own", i, F.col("n")), ""))
+        )).alias("hash"))
     )
-    links = (
-        quotes.join(originals, ["conv_id", "passage"])
-        .filter("from_turn < turn")
-        .groupBy("conv_id", "turn", "passage").agg(F.max("from_turn").alias("from_turn"))
-        .groupBy("conv_id", "turn").agg(F.max("from_turn").alias("linked_to"), F.count("*").alias("n_linked"))
+    wholes = stated.join(lengths.select("conv_id").distinct(), "conv_id", "left_semi").select("conv_id", "turn", F.xxhash64(F.array_join("own", "")).alias("hash"))
+    asked = quotes.select("conv_id", "hash", "turn").distinct()
+    links = _latest_before(asked, runs.union(wholes).distinct()).groupBy("conv_id", "turn").agg(
+        F.max("from_turn").alias("linked_to"), F.count("*").alias("n_linked")
     )
     # The turn before: equal to "the greatest smaller turn", found without gathering a conversation.
     before = _turn_before(rows.filter(keyed).select("conv_id", "turn").distinct())
@@ -108,6 +113,35 @@ def link_turns(
     )
 
 
+def _latest_before(asked: DataFrame, stated: DataFrame, block: int = 1024) -> DataFrame:
+    """conv_id, turn, hash, from_turn: for each asked (conv_id, hash, turn), the latest smaller turn that states the hash.
+
+    A running maximum in place of a join, so a passage that many turns state and many
+    quote makes no pairs; turns are windowed in blocks, so a huge group is split.
+    """
+    from pyspark.sql import Window
+
+    keys = ["conv_id", "hash"]
+    both = asked.select(*keys, "turn", F.lit(True).alias("asks"), F.lit(None).cast(asked.schema["turn"].dataType).alias("at")).union(
+        stated.select(*keys, "turn", F.lit(False), F.col("turn"))
+    ).withColumn("block", F.floor(F.col("turn") / block))
+    # At one turn the question comes first: a message cannot quote itself.
+    inner = Window.partitionBy(*keys, "block").orderBy("turn", F.desc("asks")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    seen = both.withColumn("inner", F.max("at").over(inner)).filter("asks")
+    ends = stated.groupBy(*keys, F.floor(F.col("turn") / block).alias("block")).agg(F.max("turn").alias("last"))
+    asking = seen.select(*keys, "block").distinct()
+    marks = asking.select(*keys, "block", F.lit(None).cast(asked.schema["turn"].dataType).alias("last"), F.lit(0).alias("late")).union(
+        ends.select(*keys, "block", "last", F.lit(1))
+    )
+    carry = Window.partitionBy(*keys).orderBy("block", "late").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    carried = marks.withColumn("carry", F.max("last").over(carry)).filter("late = 0").select(*keys, "block", "carry")
+    return (
+        seen.join(carried, [*keys, "block"], "left")
+        .select("conv_id", "turn", "hash", F.coalesce("inner", "carry").alias("from_turn"))
+        .filter("from_turn is not null")
+    )
+
+
 def _turn_before(turns: DataFrame, block: int = 1024) -> DataFrame:
     """The greatest smaller turn of each conversation; turns are windowed in blocks, so a huge conversation is split."""
     from pyspark.sql import Window

@@ -147,6 +147,36 @@ def test_chat(spark):
     assert text.index("Use sorted") < text.index("<|user|>\nhi") < text.index("Thanks") and ">" not in text.replace("|>", "")
 
 
+def test_chat_links_match_brute_force(spark):
+    r = random.Random(5)
+    lines = ["Alpha beta.", "gamma", "Delta, epsilon!", "zeta", "", "eta"]
+    rows = []
+    for conv in range(12):
+        said: list[list[str]] = []
+        for turn in sorted(r.sample(range(5000), 14)):
+            own = [r.choice(lines) for _ in range(r.randint(0, 4))]
+            old = r.choice(said) if said and r.random() < 0.8 else []
+            a = r.randint(0, len(old))
+            quoted = old[a : a + r.randint(1, 3)]
+            rows.append((conv, turn, "user", "\n".join([f"> {x}" for x in quoted] + own)))
+            said.append(own)
+    plain = {(c, t): [x for x in text.split("\n") if not x.startswith(">")] for c, t, _, text in rows}
+    norm = lambda x: re.sub(r"[^a-z]", "", x.lower())
+    want = {}
+    for c, t, _, text in rows:
+        passage = [y for x in text.split("\n") if x.startswith(">") and (y := norm(x))]
+        n, found = len(passage), []
+        for (c2, t2), own in plain.items():
+            ls = [y for x in own if (y := norm(x))]
+            if c2 == c and t2 < t and n and ls and ("".join(ls) == "".join(passage) or any(ls[i : i + n] == passage for i in range(len(ls)))):
+                found.append(t2)
+        before = [t2 for c2, t2 in plain if c2 == c and t2 < t]
+        want[c, t] = (max(found) if found else max(before, default=None), int(bool(passage)), int(bool(found)))
+    got = chat.link_turns(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect()
+    assert {(x["conv_id"], x["turn"]): (x["reply_to"], x["n_quotes"], x["n_linked"]) for x in got} == want
+    assert sum(x[2] for x in want.values()) > 40
+
+
 def test_urls(spark):
     cases = {
         "http://A.Example.COM/en/1": ("a.example.com", "/en/1", "example.com/en/"),
