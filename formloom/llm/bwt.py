@@ -13,34 +13,41 @@ from __future__ import annotations
 import numpy as np
 
 
-def suffix_array(text: np.ndarray) -> np.ndarray:
-    """Suffix array by prefix doubling."""
-    _, rank = np.unique(text, return_inverse=True)
-    rank = rank.astype(np.int64)
-    n, h = len(text), 1
+def suffix_array(text: np.ndarray, least: int | None = None) -> np.ndarray:
+    """Suffix array by prefix doubling from packed symbols; by the first ``least`` symbols if given, ties in any order.
+
+    All separators, symbols from 256 on, count as one symbol.  Intervals of strings of
+    up to ``least`` symbols are the same whichever way ties fall.
+    """
+    n, h = len(text), 7
+    symbol = np.minimum(text, 256).astype(np.int64) + 1
+    key = np.zeros(n, dtype=np.int64)
+    for d in range(h):  # seven symbols of nine bits
+        key[: max(n - d, 0)] |= symbol[d:] << (9 * (h - 1 - d))
     while True:
-        after = np.zeros(n, dtype=np.int64)
-        after[: max(n - h, 0)] = rank[h:] + 1
-        key = rank * (n + 1) + after
-        order = np.argsort(key, kind="stable")
+        order = np.argsort(key)
         ordered = key[order]
-        new = np.empty(n, dtype=np.int64)
-        new[order] = np.concatenate(([0], np.cumsum(ordered[1:] != ordered[:-1])))
-        if new[order[-1]] == n - 1:
+        rank = np.empty(n, dtype=np.int64)
+        rank[order] = np.concatenate(([0], np.cumsum(ordered[1:] != ordered[:-1])))
+        if rank[order[-1]] == n - 1 or (least is not None and h >= least):
             return order
-        rank, h = new, h * 2
+        key = rank * (n + 1)
+        key[: max(n - h, 0)] += rank[h:] + 1
+        h *= 2
 
 
 def short_prefix_ends(text: np.ndarray, order: np.ndarray, least: int) -> np.ndarray:
     """For each suffix in order: whether it shares fewer than ``least`` bytes with the one before.
 
-    Symbols from 256 on are separators, each occurring once; strings that hold one
-    are not expanded, and their marks say nothing.
+    Symbols from 256 on are separators; strings that hold one are not expanded, and their marks say nothing.
     """
     n = len(text)
     last = text[order - 1]  # the transform; order 0 wraps around
-    by_symbol = np.argsort(last, kind="stable")
-    keys = last[by_symbol].astype(np.int64) * (n + 1) + by_symbol  # place of the key: C[c] + rank(c, i)
+    keys = last.astype(np.int64) * (n + 1) + np.arange(n)
+    by_symbol = np.argsort(keys)
+    keys = keys[by_symbol]  # place of the key: C[c] + rank(c, i)
+    step = np.empty(n, dtype=np.int64)  # one backward step of each place
+    step[by_symbol] = np.arange(n)
     present = np.unique(text)
     present = present[present < 256].astype(np.int64)
     marked = np.zeros(n + 1, dtype=bool)
@@ -51,19 +58,25 @@ def short_prefix_ends(text: np.ndarray, order: np.ndarray, least: int) -> np.nda
         if not len(low):
             break
         width = high - low
-        narrow = width <= len(present)
-        # Narrow intervals list their symbols, wide ones are asked for every symbol.
+        # Single places take one step, narrow intervals step from each of their places, wide ones are asked for every symbol.
+        single = low[width == 1]
+        single = step[single[last[single] < 256]]
+        narrow = (width > 1) & (width <= len(present))
         owner = np.repeat(np.flatnonzero(narrow), width[narrow])
         ends = np.cumsum(width[narrow])
         place = np.arange(ends[-1] if len(ends) else 0) - np.repeat(ends - width[narrow], width[narrow]) + low[owner]
         symbol = last[place].astype(np.int64)
         inner = symbol < 256
-        pairs = np.unique(owner[inner] * 256 + symbol[inner])
-        wide = np.flatnonzero(~narrow)
-        pairs = np.concatenate((pairs, (wide[:, None] * 256 + present[None, :]).ravel()))
-        owner, symbol = pairs // 256, pairs % 256
-        new_low = np.searchsorted(keys, symbol * (n + 1) + low[owner])
-        new_high = np.searchsorted(keys, symbol * (n + 1) + high[owner])
+        met = np.sort((owner[inner] * 256 + symbol[inner]) * (n + 1) + step[place[inner]])
+        pair = met // (n + 1)
+        cut = np.flatnonzero(pair[1:] != pair[:-1]) + 1
+        heads = np.concatenate(([0], cut)) if len(met) else cut
+        tails = np.concatenate((cut - 1, [len(met) - 1])) if len(met) else cut
+        wide = np.flatnonzero(width > len(present))
+        base = np.tile(present * (n + 1), len(wide))
+        wide = np.repeat(wide, len(present))
+        new_low = np.concatenate((single, met[heads] % (n + 1), np.searchsorted(keys, base + low[wide])))
+        new_high = np.concatenate((single + 1, met[tails] % (n + 1) + 1, np.searchsorted(keys, base + high[wide])))
         fresh = (new_high > new_low) & ~marked[new_high]
         low, high = new_low[fresh], new_high[fresh]
         marked[high] = True
@@ -79,8 +92,8 @@ def repeated_windows(pieces: list[bytes], least: int) -> list[tuple[np.ndarray,
     for i, p in enumerate(pieces):
         text[starts[i] : starts[i] + len(p)] = np.frombuffer(p, dtype=np.uint8)
         text[starts[i] + len(p)] = 256 + i
-    order = suffix_array(text)
-    piece = np.searchsorted(starts, order, side="right") - 1
+    order = suffix_array(text, least)
+    piece = np.repeat(np.arange(len(pieces)), lengths + 1)[order]
     offset = order - starts[piece]
     valid = offset + least <= lengths[piece]
     breaks = short_prefix_ends(text, order, least) | ~valid | ~np.concatenate(([False], valid[:-1]))

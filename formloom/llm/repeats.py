@@ -100,20 +100,23 @@ def _compared(rows: DataFrame, least: int) -> DataFrame:
     """Repeats (doc, start, stop) among unlike segments; ``rows`` are partitioned and sorted by gram."""
 
     def spans(block):
-        out = []
-        pieces = [r[3] for r in block]
-        for piece, offset in repeated_windows(pieces, least):
-            places = [(block[p][1], block[p][2] + o) for p, o in zip(piece.tolist(), offset.tolist(), strict=True)]
-            first = min(places)
-            out += [x for x in places if x != first]
-        out.sort()
-        merged: list[list] = []
-        for doc, at in out:
-            if merged and merged[-1][0] == doc and at <= merged[-1][2]:
-                merged[-1][2] = at + least
-            else:
-                merged.append([doc, at, at + least])
-        return merged
+        groups = repeated_windows([r[3] for r in block], least)
+        if not groups:
+            return np.zeros((0, 3), dtype=np.int64)
+        piece = np.concatenate([p for p, _ in groups])
+        group = np.repeat(np.arange(len(groups)), [len(p) for p, _ in groups])
+        doc = np.array([r[1] for r in block], dtype=np.int64)[piece]
+        at = np.array([r[2] for r in block], dtype=np.int64)[piece] + np.concatenate([o for _, o in groups])
+        order = np.lexsort((at, doc, group))
+        group, doc, at = group[order], doc[order], at[order]
+        head = np.searchsorted(group, group)  # each group's earliest, of which repeated rows may give more than one
+        later = (doc != doc[head]) | (at != at[head])
+        doc, at = doc[later], at[later]
+        order = np.lexsort((at, doc))
+        doc, at = doc[order], at[order]
+        new = np.flatnonzero(np.concatenate(([True], (doc[1:] != doc[:-1]) | (at[1:] > at[:-1] + least))))[: len(doc)]
+        last = np.concatenate((new[1:], [len(doc)])) - 1
+        return np.stack((doc[new], at[new], at[last] + least), axis=1)
 
     def run(batches):
         block, size, last = [], 0, None
@@ -129,11 +132,8 @@ def _compared(rows: DataFrame, least: int) -> DataFrame:
             yield from emit(spans(block))
 
     def emit(found):
-        if found:
-            docs, starts, stops = zip(*found, strict=True)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(docs, pa.int64()), pa.array(starts, pa.int64()), pa.array(stops, pa.int64())], ["doc", "start", "stop"]
-            )
+        if len(found):
+            yield pa.RecordBatch.from_arrays([pa.array(found[:, i].copy()) for i in range(3)], ["doc", "start", "stop"])
 
     return rows.mapInArrow(run, "doc long, start long, stop long")
 
