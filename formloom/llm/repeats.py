@@ -34,6 +34,7 @@ from .shingles import mix
 
 GRAM = 16
 BLOCK = 1 << 19
+_PLACE = np.uint64((1 << 20) - 1)  # room for a place in a block and the window that ends beyond it
 _rng = np.random.default_rng(20240608)
 _VALUE = _rng.integers(1, 1 << 63, 256, dtype=np.uint64)
 _R = 0x9E3779B97F4A7C15
@@ -65,18 +66,18 @@ def _piece(raw: bytes, least: int) -> list[np.ndarray]:
     np.cumsum(_VALUE[data] * _power(_R, "up", n), out=sums[1:])
     back = _power(pow(_R, -1, 1 << 64), "down", n)
     low = mix((sums[GRAM:] - sums[: n - GRAM + 1]) * back[: n - GRAM + 1])
-    at = np.arange(len(low))
+    # The upper bits of a gram's hash over its position: one minimum finds the smallest, leftmost among equals.
+    packed = (low & ~_PLACE) | np.arange(len(low), dtype=np.uint64)
     width, target = 1, least - GRAM + 1
-    while width < target:  # minima of windows by doubling, leftmost among equals
+    while width < target:  # minima of windows by doubling
         step = min(width, target - width)
-        left, right = low[:-step], low[step:]
-        first = left <= right
-        low, at = np.where(first, left, right), np.where(first, at[:-step], at[step:])
+        packed = np.minimum(packed[:-step], packed[step:])
         width += step
+    at = (packed & _PLACE).astype(np.int64)
     new = np.flatnonzero(np.concatenate(([True], at[1:] != at[:-1])))
     stop = np.concatenate((new[1:], [len(at)])) - 1 + least
     whole = mix((sums[stop] - sums[new]) * back[new] + (stop - new).astype(np.uint64) * np.uint64(_R))
-    return [low[new].view(np.int64), whole.view(np.int64), new.astype(np.int64), stop.astype(np.int64)]
+    return [low[at[new]].view(np.int64), whole.view(np.int64), new.astype(np.int64), stop.astype(np.int64)]
 
 
 def _all_segments(texts: DataFrame, least: int) -> DataFrame:
