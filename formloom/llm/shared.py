@@ -37,10 +37,15 @@ def _remove(spark: SparkSession, root: str) -> None:
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
-    """``df`` as a table in the shared folder: computed once, and read again after a lost executor."""
+    """``df`` as a table in the shared folder: computed once, and read again after a lost executor.
+
+    Spark deletes the shuffle files of a finished step once the driver's garbage is
+    collected, so that is asked for here; else they pile up from step to step.
+    """
     spark = df.sparkSession
     path = f"{shared_root(spark)}/{name}-{uuid.uuid4().hex[:12]}"
     df.write.parquet(path)
+    spark.sparkContext._jvm.System.gc()
     return spark.read.schema(df.schema).parquet(path)
 
 
