@@ -3,11 +3,12 @@
 A rule fits a host and its subdomains if the path starts with the rule's path; the
 longest rule wins.  URLs that no rule fits are judged by two variable-order Markov
 models, one of accepted and one of rejected URLs (those that rules allow and block).
-Each model interpolates the orders 0 to ``order`` by Witten-Bell smoothing.  Its
-counts come from every ruled URL by one grouped sum; they live in hashed tables of a
-fixed size, so what is broadcast does not grow with the data.  A URL is allowed if
-its log-likelihood difference per character is at least a threshold, calibrated for
-balanced accuracy on the fold of ruled URLs that the models do not see.
+Each model interpolates the orders 0 to ``order`` by Witten-Bell smoothing with the
+true number of distinct successors.  Its counts come from every ruled URL by one
+grouped sum, stay a table that grows with the data, and are joined to the characters
+of the URLs to be judged.  A URL is allowed if its log-likelihood difference per
+character is at least a threshold, calibrated for balanced accuracy on the fold of
+ruled URLs that the models do not see.
 
 Defined results for odd input: a null URL or one without ``://`` has an empty host
 and path and fits no rule; its verdict is the model's, of the text as it is; without
@@ -24,6 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .native import LOWER, UPPER
+from .shared import written
 
 #: Rule, verdict.
 RULES = (
@@ -33,7 +35,8 @@ RULES = (
     ("net/es/", "block"),
     ("net/fr/", "block"),
 )
-BINS = 1 << 16  # of each order's contexts with and without their next character
+SCALE = 1_000_000_000  # log ratios are summed as integers, so that the order of addition does not matter
+SHARES = 4096
 
 
 def split_url(url: Column) -> tuple[Column, Column]:
@@ -55,99 +58,129 @@ def rule_of(host: Column, path: Column, rules=RULES) -> Column:
     return found
 
 
-def _hashed(urls: list[str], order: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Per character: bins of its context and of context with character, for each order, and the URL it belongs to."""
+def _keys(urls: list[str], order: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Per character: its context and itself, packed into one integer, and the URL it belongs to; then the characters of each URL.
+
+    The lowest byte is the character, the next ones what comes before it, so the
+    lowest ``n + 1`` bytes are the character in its context of order ``n``.
+    """
     raw = [b"\0" * order + (u or "").encode("utf-8") + b"\0" for u in urls]
-    data = np.frombuffer(b"".join(raw), dtype=np.uint8).astype(np.uint64)
-    lengths = np.array([len(x) for x in raw])
+    data = np.frombuffer(b"".join(raw), dtype=np.uint8).astype(np.int64)
+    lengths = np.array([len(x) for x in raw], dtype=np.int64)
     inside = np.arange(len(data)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
     at = np.flatnonzero(inside >= order)
-    owner = np.repeat(np.arange(len(raw)), lengths)[at]
-    contexts, pairs = [], []
-    h = np.full(len(at), 0x51ED270B9F3D, dtype=np.uint64)
+    key = np.zeros(len(at), dtype=np.int64)
     for n in range(order + 1):
-        if n:
-            h = (h ^ data[at - n]) * np.uint64(0x9E3779B97F4A7C15)
-            h ^= h >> np.uint64(29)
-        p = (h ^ (data[at] + np.uint64(257))) * np.uint64(0xBF58476D1CE4E5B9)
-        contexts.append((h * np.uint64(0x94D049BB133111EB)) >> np.uint64(48))
-        pairs.append(p >> np.uint64(48))
-    return np.array(contexts, dtype=np.int64), np.array(pairs, dtype=np.int64), owner
+        key |= data[at - n] << (8 * n)
+    return key, np.repeat(np.arange(len(raw)), lengths)[at], lengths - order
+
 
+def _counted(rows: DataFrame, order: int) -> DataFrame:
+    """key, n0, n1, asked: the keys of ``rows(url, slot)``, counted by slot (0 accepted, 1 rejected, 2 to be scored)."""
 
-def _counts(ruled: DataFrame, order: int) -> np.ndarray:
-    """Counts [class, order, context or pair, bin] of all training URLs; at most a fixed number of rows reach the driver."""
+    def run(batches):
+        for batch in batches:
+            urls, slots = batch[0].to_pylist(), batch[1].to_numpy(zero_copy_only=False)
+            key, owner, _ = _keys(urls, order)
+            distinct, place = np.unique(key, return_inverse=True)
+            sums = [np.bincount(place[slots[owner] == k], minlength=len(distinct)) for k in range(3)]
+            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (distinct, *sums)], ["key", "n0", "n1", "asked"])
+
+    parts = rows.mapInArrow(run, "key long, n0 long, n1 long, asked long")
+    return parts.groupBy("key").agg(*[F.sum(c).alias(c) for c in ("n0", "n1", "asked")])
+
+
+def _ratios(counted: DataFrame, order: int) -> DataFrame:
+    """key, ratio, asked of every asked key: log-likelihood difference of its character, in units of 1 / SCALE.
+
+    A context is followed by at most 256 characters, and a key shortened by a byte comes
+    from at most 256 keys, so no group or join key here gathers more rows than that.
+    """
+    cut = lambda n: F.col("key").bitwiseAND(F.lit((1 << 8 * n) - 1))
+    levels = counted.select(
+        F.explode(F.array(*[F.struct(F.lit(n).alias("order"), cut(n + 1).alias("key")) for n in range(order + 1)])).alias("k"), "n0", "n1", "asked"
+    ).groupBy("k.order", "k.key").agg(*[F.sum(c).alias(c) for c in ("n0", "n1", "asked")])
+    sums = [F.sum(f"n{c}").alias(f"seen{c}") for c in (0, 1)] + [F.sum((F.col(f"n{c}") > 0).cast("long")).alias(f"kinds{c}") for c in (0, 1)]
+    asked = F.collect_list(F.when(F.col("asked") > 0, F.struct("key", "n0", "n1", "asked"))).alias("s")
+    levels = levels.groupBy("order", F.shiftright("key", 8).alias("context")).agg(*sums, asked)
+    levels = written(levels.select("order", *[f"{x}{c}" for x in ("seen", "kinds") for c in (0, 1)], F.inline("s")), "urls-levels")
+    p = None
+    for n in range(order + 1):
+        rows = levels.filter(F.col("order") == n).withColumn("shorter", cut(n))
+        if p is None:
+            rows = rows.select("*", F.lit(1 / 256).alias("lower0"), F.lit(1 / 256).alias("lower1"))
+        else:
+            rows = rows.join(p.select(F.col("key").alias("shorter"), F.col("p0").alias("lower0"), F.col("p1").alias("lower1")), "shorter")
+        p = rows.select("key", "asked", *[
+            F.when(F.col(f"seen{c}") > 0, (F.col(f"n{c}") + F.col(f"kinds{c}") * F.col(f"lower{c}")) / (F.col(f"seen{c}") + F.col(f"kinds{c}")))
+            .otherwise(F.col(f"lower{c}")).alias(f"p{c}") for c in (0, 1)
+        ])
+    return p.select("key", F.round((F.log("p0") - F.log("p1")) * SCALE).cast("long").alias("ratio"), "asked")
+
+
+def _scores(rows: DataFrame, ratios: DataFrame, order: int) -> DataFrame:
+    """rid, score of ``rows(rid, url)``: the mean ratio of each URL's characters.
+
+    A key with more than 1 in SHARES of all characters (fewer than SHARES such keys can
+    be) is looked up where the URL is; only the others are joined, so none is hot.
+    """
+    total = ratios.agg(F.sum("asked")).first()[0] or 0
+    often = ratios.filter(F.col("asked") * SHARES > total).select("key", "ratio").orderBy("key").toArrow()
+    hot = rows.sparkSession.sparkContext.broadcast((often["key"].to_numpy(), often["ratio"].to_numpy()))
 
     def run(batches):
-        sums = np.zeros((2, order + 1, 2, BINS), dtype=np.int64)
+        keys, values = hot.value
         for batch in batches:
-            urls, kinds = batch[0].to_pylist(), np.array(batch[1].to_pylist(), dtype=np.int64)
-            for c in (0, 1):
-                mine = [u for u, k in zip(urls, kinds, strict=True) if k == c]
-                if mine:
-                    contexts, pairs, _ = _hashed(mine, order)
-                    for n in range(order + 1):
-                        sums[c, n, 0] += np.bincount(contexts[n], minlength=BINS)
-                        sums[c, n, 1] += np.bincount(pairs[n], minlength=BINS)
-        flat = sums.ravel()
-        at = np.flatnonzero(flat)
-        yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(flat[at], pa.int64())], ["slot", "n"])
-
-    summed = ruled.select("url", "kind").mapInArrow(run, "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n"))
-    rows = summed.toArrow()
-    out = np.zeros(2 * (order + 1) * 2 * BINS, dtype=np.float64)
-    out[rows["slot"].to_numpy()] = rows["n"].to_numpy()
-    return out.reshape(2, order + 1, 2, BINS).astype(np.float32)
-
-
-def _types(counts: np.ndarray) -> np.ndarray:
-    """A stand-in for the number of distinct next characters of a context: its count's square root, at least 1."""
-    return np.sqrt(np.maximum(counts, 1))
-
-
-def log_ratio(urls: list[str], counts: np.ndarray, order: int) -> np.ndarray:
-    """Log-likelihood difference per character, accepted minus rejected."""
-    contexts, pairs, owner = _hashed(urls, order)
-    logs = []
-    for c in (0, 1):
-        p = np.full(len(owner), 1 / 256)
-        for n in range(order + 1):
-            seen = counts[c, n, 0][contexts[n]]
-            with_next = np.minimum(counts[c, n, 1][pairs[n]], seen)
-            kinds = _types(seen)
-            p = (with_next + kinds * p) / (seen + kinds)
-        logs.append(np.bincount(owner, np.log(p), minlength=len(urls)))
-    size = np.bincount(owner, minlength=len(urls))
-    return (logs[0] - logs[1]) / np.maximum(size, 1)
+            for at in range(0, batch.num_rows, 1024):
+                part = batch.slice(at, 1024)
+                key, owner, size = _keys(part[1].to_pylist(), order)
+                rid = part[0].to_numpy()
+                place = np.searchsorted(keys, key)
+                is_hot = place < len(keys)
+                is_hot[is_hot] = keys[place[is_hot]] == key[is_hot]
+                near = np.zeros(len(rid), dtype=np.int64)
+                np.add.at(near, owner[is_hot], values[place[is_hot]])
+                # Of each URL one row with its size and what is known here, and a row for each other character.
+                none = np.zeros(np.count_nonzero(~is_hot), dtype=np.int64)
+                columns = [
+                    np.concatenate((rid, rid[owner[~is_hot]])), np.concatenate((np.full(len(rid), -1), key[~is_hot])),
+                    np.concatenate((near, none)), np.concatenate((size, none)),
+                ]
+                yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in columns], ["rid", "key", "ratio", "size"])
+
+    parts = rows.select("rid", "url").mapInArrow(run, "rid long, key long, ratio long, size long")
+    joined = parts.filter("key >= 0").select("rid", "key").join(ratios.select("key", "ratio"), "key").select("rid", "ratio", F.lit(0).cast("long").alias("size"))
+    summed = parts.filter("key < 0").select("rid", "ratio", "size").union(joined).groupBy("rid").agg(F.sum("ratio").alias("ratio"), F.sum("size").alias("size"))
+    return summed.select("rid", (F.col("ratio") / F.col("size") / SCALE).alias("score"))
 
 
 def judge_urls(
     pages: DataFrame, id_col: str = "page_id", url_col: str = "url", rules=RULES, order: int = 5, fold: int = 5
 ) -> DataFrame:
     """page_id, host, path, rule, verdict, score: one row per input row (score null where a rule decides)."""
+    if not 0 <= order <= 6:
+        raise ValueError("a context of up to 6 bytes and its next byte make one key")
     host, path = split_url(F.col("url"))
     rows = pages.select(pages[id_col].alias("page_id"), pages[url_col].alias("url"))
     rows = rows.select("page_id", "url", host.alias("host"), path.alias("path"))
     verdict_of = F.create_map(*[F.lit(x) for r in rules for x in r])
     rows = rows.withColumn("rule", rule_of(F.col("host"), F.col("path"), rules))
     rows = rows.withColumn("ruled", F.when(F.col("rule").isNotNull(), F.element_at(verdict_of, F.col("rule"))))
-    labelled = rows.filter("ruled is not null").select("url", F.when(F.col("ruled") == "allow", 0).otherwise(1).alias("kind"))
+    rows = written(rows.withColumn("rid", F.monotonically_increasing_id()), "urls-rows")
     held_out = F.pmod(F.xxhash64("url"), F.lit(fold)) == 0
-    counts = _counts(labelled.filter(~held_out), order)
-    both = bool((counts[:, 0, 0].sum(axis=1) > 0).all())
-    model = pages.sparkSession.sparkContext.broadcast(counts)  # a fixed size: 2 classes, the orders, 2 tables of BINS
-
-    def score(batches):
-        for batch in batches:
-            values = log_ratio(batch[0].to_pylist(), model.value, order)
-            yield pa.RecordBatch.from_arrays([batch[1], pa.array(np.round(values * 1000).astype(np.int64))], ["kind", "bin"])
+    kind = F.when(F.col("ruled") == "allow", 0).otherwise(1)
+    scored = rows.filter(F.col("ruled").isNull() | held_out)
+    trained = rows.filter(F.col("ruled").isNotNull() & ~held_out)
+    both = trained.select(kind.alias("kind")).distinct().count() == 2
+    slots = rows.select("url", F.when(F.col("ruled").isNull() | held_out, 2).otherwise(kind).alias("slot"))
+    ratios = written(_ratios(_counted(slots, order), order), "urls-ratios")
+    scores = written(_scores(scored, ratios, order), "urls-scores")
 
     threshold = 0.0
     if both:  # thousandths of the score on the held-out fold: a bounded histogram
         hist = (
-            labelled.filter(held_out).select("url", F.col("kind").cast("long").alias("kind"))
-            .mapInArrow(score, "kind long, bin long")
-            .withColumn("bin", F.greatest(F.lit(-20000), F.least(F.lit(20000), "bin")))
+            rows.filter(F.col("ruled").isNotNull() & held_out).select("rid", kind.cast("long").alias("kind")).join(scores, "rid")
+            .withColumn("bin", F.greatest(F.lit(-20000), F.least(F.lit(20000), F.round(F.col("score") * 1000).cast("long"))))
             .groupBy("bin").agg(F.sum(1 - F.col("kind")).alias("good"), F.sum("kind").alias("bad"))
             .orderBy("bin").collect()
         )
@@ -160,25 +193,6 @@ def judge_urls(
             before = r["bin"]
             below_good, below_bad = below_good + r["good"], below_bad + r["bad"]
 
-    cut = threshold
-    kinds = [rows.schema[c] for c in ("page_id", "host", "path", "rule", "ruled")]
-
-    def judge(batches):
-        for batch in batches:
-            urls, ruled = batch[5].to_pylist(), batch[4].to_pylist()
-            open_at = [i for i, r in enumerate(ruled) if r is None]
-            scores: list[float | None] = [None] * len(urls)
-            for at in range(0, len(open_at), 2048):
-                part = open_at[at : at + 2048]
-                for i, v in zip(part, log_ratio([urls[i] for i in part], model.value, order), strict=True):
-                    scores[i] = float(v)
-            verdicts = [r or ("allow" if not both or scores[i] >= cut else "block") for i, r in enumerate(ruled)]
-            yield pa.RecordBatch.from_arrays(
-                [*(batch[i] for i in range(4)), pa.array(verdicts, pa.string()), pa.array(scores, pa.float64())],
-                ["page_id", "host", "path", "rule", "verdict", "score"],
-            )
-
-    from pyspark.sql import types as T
-
-    schema = T.StructType([*kinds[:4], T.StructField("verdict", T.StringType()), T.StructField("score", T.DoubleType())])
-    return rows.select("page_id", "host", "path", "rule", "ruled", "url").mapInArrow(judge, schema)
+    score = F.when(F.col("ruled").isNull(), F.col("score"))
+    model = F.when(score >= F.lit(threshold), "allow").otherwise("block") if both else F.lit("allow")
+    return rows.join(scores, "rid", "left").select("page_id", "host", "path", "rule", F.coalesce("ruled", model).alias("verdict"), score.alias("score"))

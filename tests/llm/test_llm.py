@@ -199,6 +199,38 @@ def test_urls(spark):
     assert (got[5000]["verdict"], got[5001]["verdict"]) == ("allow", "block")
 
 
+
+def test_url_model_keeps_true_counts(spark):
+    r = random.Random(8)
+    make = lambda host: f"http://{''.join(r.choice('abcdefghijklmnopqrstuvwxyz0123456789') for _ in range(60))}.{host}"
+    labelled = [make("com/") for _ in range(1500)] + [make("net/es/") for _ in range(1500)]
+    held = [make("org/") for _ in range(5)] + [labelled[3].replace(".com", ".org"), labelled[1700].replace(".net", ".org")]
+    df = spark.createDataFrame(list(enumerate(labelled + held)), "page_id long, url string")
+    fold = {r["page_id"] for r in df.filter("pmod(xxhash64(url), 5) = 0").collect()}
+    next_of = [{}, {}]
+    padded = lambda u: b"\0" * 5 + u.encode() + b"\0"
+    for i, u in enumerate(labelled):
+        if i not in fold:
+            b = padded(u)
+            for j in range(5, len(b)):
+                for n in range(6):
+                    successors = next_of[i >= 1500].setdefault(b[j - n : j], {})
+                    successors[b[j]] = successors.get(b[j], 0) + 1
+    assert sum(len(x) for x in next_of[0].values()) > 1 << 16
+    got = by_id(urls.judge_urls(df), "page_id")
+    for i, u in enumerate(held, len(labelled)):
+        b, total = padded(u), 0.0
+        for j in range(5, len(b)):
+            p = [1 / 256, 1 / 256]
+            for c in (0, 1):
+                for n in range(6):
+                    x = next_of[c].get(b[j - n : j], {})
+                    if x:
+                        p[c] = (x.get(b[j], 0) + len(x) * p[c]) / (sum(x.values()) + len(x))
+            total += np.log(p[0]) - np.log(p[1])
+        assert got[i]["score"] == pytest.approx(total / (len(b) - 5), abs=1e-8)
+
+
 def test_counts(spark):
     store = counts.Rollup(spark, f"{shared_root(spark)}/t-{rnd.random()}")
     schema = "kind string, source string, lang string, tokenizer string, n_tokens long, old_tokens long"
