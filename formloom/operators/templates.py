@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 from difflib import SequenceMatcher
+from math import sqrt
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -21,20 +23,75 @@ def cosine(a: Column, b: Column) -> Column:
     return F.coalesce(F.when(fits, F.round(dot / (norm(a) * norm(b)), 4)), F.lit(0.0))
 
 
+def anchor_share(anchors: Column, text: Column) -> Column:
+    """Share of a template's anchors, a map of field to pattern, that the text matches, 4 digits; 0 without anchors."""
+    java = lambda p: F.concat(F.lit(FLAGS), F.replace(p, F.lit("(?P<"), F.lit("(?<")))
+    hit = lambda p: (p != "") & F.regexp_like(text, java(p))
+    share = F.size(F.filter(F.map_values(anchors), hit)) / F.size(anchors)
+    return F.coalesce(F.when(F.size(anchors) > 0, F.round(share, 4)), F.lit(0.0))
+
+
 def best_template(docs: DataFrame, templates: DataFrame, id_col: str = "doc") -> DataFrame:
     """Each document's most similar template of its type, the earliest among equals.
 
     ``docs(id, document_type, vector)`` and ``templates(document_type, ord, vector)``;
     the store holds at most ``CAP`` templates of a type, so each document meets few.
+    Where the documents have a ``text`` and the templates ``anchors``, a similarity of 0
+    is replaced by the share of the template's anchors found in a text that is not empty.
     """
-    t = templates.select("document_type", "ord", F.col("vector").alias("__tv"))
+    anchored = "text" in docs.columns and "anchors" in templates.columns
+    t = templates.select("document_type", "ord", F.col("vector").alias("__tv"), *([F.col("anchors").alias("__ta")] if anchored else []))
     scored = docs.join(t, "document_type").withColumn("score", cosine(F.col("vector"), F.col("__tv")))
+    if anchored:
+        asked = (F.col("score") == 0) & (F.col("text") != "")
+        scored = scored.withColumn("score", F.when(asked, anchor_share(F.col("__ta"), F.col("text"))).otherwise(F.col("score")))
     best = F.max(F.struct("score", (-F.col("ord")).alias("o"))).alias("b")
     return scored.groupBy(id_col, "document_type").agg(best).select(
         id_col, "document_type", F.col("b.score").alias("score"), (-F.col("b.o")).alias("ord")
     )
 
 
+def learn_capped(templates: DataFrame, cap: int = CAP, merge: float = 0.85) -> DataFrame:
+    """document_type, slot, ord: the store after learning ``templates(document_type, ord, vector)`` one by one, by ord.
+
+    A template at least ``merge`` similar to the first most similar one of its type takes
+    that one's slot.  Else it gets a slot of its own or, once its type has ``cap``, takes
+    that of the first most similar.  What each does hangs on all before it, so a type is
+    read in order by one task, which holds no more than ``cap`` vectors at a time.
+    """
+
+    def run(batches):
+        kind, store = None, []  # of each slot: ord, vector, norm
+
+        def rows():
+            return {"document_type": [kind] * len(store), "slot": list(range(len(store))), "ord": [x[0] for x in store]}
+
+        for batch in batches:
+            for this, number, vector in zip(batch["document_type"], batch["ord"], batch["vector"], strict=True):
+                if store and this != kind:
+                    yield pd.DataFrame(rows())
+                    store = []
+                kind = this
+                vector = [] if vector is None else [float(x) for x in vector]
+                norm = sqrt(sum(x * x for x in vector))
+                scores = [
+                    round(sum(x * y for x, y in zip(vector, v, strict=True)) / (norm * size), 4)
+                    if vector and len(v) == len(vector) and norm > 0 and size > 0 else 0.0
+                    for _, v, size in store
+                ]
+                best = scores.index(max(scores)) if scores else None
+                if best is not None and (scores[best] >= merge or len(store) >= cap):
+                    store[best] = (number, vector, norm)
+                else:
+                    store.append((number, vector, norm))
+        if store:
+            yield pd.DataFrame(rows())
+
+    kinds = {c: templates.schema[c].dataType.simpleString() for c in ("document_type", "ord")}
+    ordered = templates.select("document_type", "ord", "vector").repartition("document_type").sortWithinPartitions("document_type", "ord")
+    return ordered.mapInPandas(run, f"document_type {kinds['document_type']}, slot int, ord {kinds['ord']}")
+
+
 def keep_newest(templates: DataFrame, cap: int = CAP) -> DataFrame:
     """The ``cap`` latest templates of each type."""
     w = Window.partitionBy("document_type").orderBy(F.desc("ord"))

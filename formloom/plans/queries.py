@@ -204,6 +204,12 @@ def template_cap_eviction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return templates.keep_newest(rows).select(F.col("document_type").alias("label"), F.col("ord").alias("vec_id"))
 
 
+@_query()
+def template_learning(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "embeddings").select(F.col("label").alias("document_type"), F.col("vec_id").alias("ord"), F.col("embedding").alias("vector"))
+    return templates.learn_capped(rows).select(F.col("document_type").alias("label"), "slot", F.col("ord").alias("vec_id"))
+
+
 @_query("select coalesce(s.n, t.n) as template_name, coalesce(s.v, t.v) as value from (select 'k' || s_suppkey as n, s_acctbal as v from supplier) s full join (select 'k' || c_custkey as n, c_acctbal as v from customer) t on s.n = t.n")
 def promote_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
     named = lambda t, k, v: table(spark, sf_dir, t).select(F.concat(F.lit("k"), F.col(k).cast("string")).alias("template_name"), F.col(v).alias("value"))

@@ -73,3 +73,36 @@ def test_signature_scores(spark):
 def test_no_template_hit(spark):
     rows = spark.createDataFrame([([],), (None,)], "t array<string>")
     assert [tuple(r[0]) for r in rows.select(summaries.template_hit(F.col("t"))).collect()] == [("—", "—")] * 2
+
+
+def test_full_store_replaces_the_most_similar(spark):
+    import random
+
+    from formloom.operators import templates
+
+    r = random.Random(2)
+    rows = [(k, i, [r.gauss(0, 1) for _ in range(3)] if i % 9 else [0.0] * 3) for k in ("a", "b") for i in range(60)]
+    cos = lambda x, y: round(d / n, 4) if (n := (sum(i * i for i in x) * sum(i * i for i in y)) ** 0.5) and (d := sum(i * j for i, j in zip(x, y, strict=True))) else 0.0
+    for cap, merge in ((5, 0.85), (5, 2.0), (200, 2.0)):
+        want = {}
+        for kind, i, v in rows:
+            store = want.setdefault(kind, [])
+            scores = [cos(v, x) for _, x in store]
+            if store and (max(scores) >= merge or len(store) >= cap):
+                store[scores.index(max(scores))] = (i, v)
+            else:
+                store.append((i, v))
+        got = templates.learn_capped(spark.createDataFrame(rows, "document_type string, ord long, vector array<double>").repartition(3), cap, merge).collect()
+        assert {(x["document_type"], x["slot"]): x["ord"] for x in got} == {(k, n): i for k, store in want.items() for n, (i, _) in enumerate(store)}
+
+
+def test_anchors_score_what_has_no_similarity(spark):
+    from formloom.operators import templates
+
+    docs = spark.createDataFrame([(1, "a", [], "TOTAL: 5 due"), (2, "a", [1.0], "total: 5"), (3, "a", [], "")], "doc long, document_type string, vector array<double>, text string")
+    store = spark.createDataFrame(
+        [("a", 0, [1.0], {"x": r"vendor\s*:\s*(?P<value>.+)"}), ("a", 1, [], {"t": r"total\s*:\s*(?P<value>.+)", "v": "vendor", "d": "due"}), ("a", 2, [], None)],
+        "document_type string, ord long, vector array<double>, anchors map<string,string>",
+    )
+    got = {x["doc"]: (x["ord"], x["score"]) for x in templates.best_template(docs, store).collect()}
+    assert got == {1: (1, 0.6667), 2: (0, 1.0), 3: (0, 0.0)}
