@@ -1,7 +1,8 @@
 """Quality rules, line first (native).
 
 Every line is judged on its own by punctuation, navigation, boilerplate, shouting
-and repetition rules; lines that fail are removed, and a document that loses too
+and repetition rules, and runs of short lines without a mark at their end are taken
+for lists of links; lines that fail are removed, and a document that loses too
 much of its text, or that fails one of the two document rules, is rejected.
 
 Defined results for odd input: a null or empty text has no words, so it fails the
@@ -22,7 +23,7 @@ from .native import SPACE_CLASS, let, space_words, total
 
 SYMBOL_CLASS = "[#*$%&|<>]"
 
-#: Phrases that mark a line as boilerplate (compared in lower case).
+#: Phrases that mark a line as boilerplate (compared in lower case), in the four languages of the tables.
 BOILERPLATE = (
     "all rights reserved",
     "cookie policy",
@@ -34,8 +35,32 @@ BOILERPLATE = (
     "terms of service",
     "terms of use",
     "use of cookies",
+    "tous droits réservés",
+    "politique de confidentialité",
+    "mentions légales",
+    "conditions d'utilisation",
+    "utilisation de cookies",
+    "alle rechte vorbehalten",
+    "datenschutzerklärung",
+    "nutzungsbedingungen",
+    "verwendung von cookies",
+    "todos los derechos reservados",
+    "política de privacidad",
+    "términos de uso",
+    "aviso legal",
+    "uso de cookies",
 )
 
+#: Words of menus, in the same languages. A short line of nothing else is navigation.
+MENU_WORDS = frozenset(
+    "home about contact login logout register search menu news next previous prev back top page pages sitemap help faq share skip more"
+    " accueil connexion inscription rechercher recherche suivant suivante précédent précédente retour plan aide actualités"
+    " startseite kontakt anmelden registrieren suche suchen weiter zurück seite impressum hilfe nachrichten über uns"
+    " inicio contacto acceder registrarse buscar siguiente anterior volver página ayuda noticias mapa".split()
+)
+_NAV_SEPARATOR = r"[|·•»›→]|\s[/>]\s"
+_TERMINAL = r"[.!?…:;,][\p{Pe}\p{Pf}\p{Pi}\"'\s]*$"
+
 
 @dataclass(frozen=True)
 class QualityLimits:
@@ -49,6 +74,11 @@ class QualityLimits:
     min_line_distinct_pct: int = 20
     distinct_from_words: int = 10
     min_kept_pct: int = 50
+    max_line_punctuation_pct: int = 40
+    nav_items: int = 3
+    nav_item_words: int = 3
+    menu_line_words: int = 8
+    short_run_lines: int = 4
 
 
 def _repeat_words(words: Column, k: int) -> Column:
@@ -91,8 +121,8 @@ def _repeat_words(words: Column, k: int) -> Column:
 def _line_passes(line: Column, has: Column, limits: QualityLimits) -> Column:
     """True for a line that no line rule removes; a line without words always stays.
 
-    ``has`` says of the whole text whether it holds symbols, shouting, boilerplate
-    or repeated windows, without which the rule in question is not asked.  So a line
+    ``has`` says of the whole text whether it holds symbols, shouting, boilerplate,
+    separators of menus or repeated windows, without which the rule in question is not asked.  So a line
     counts as repetitive if it has few distinct words and its text repeats windows.
     """
 
@@ -111,12 +141,47 @@ def _line_passes(line: Column, has: Column, limits: QualityLimits) -> Column:
                 & (F.size(F.array_distinct(w)) * 100 <= n * limits.min_line_distinct_pct)
             )
             | (has["boiler"] & phrase)
+            | ((F.regexp_count(line, F.lit(r"[\p{P}\p{S}]")) * 100 > F.length(F.array_join(w, "")) * limits.max_line_punctuation_pct))
+            | (has["bars"] & let(F.split(line, _NAV_SEPARATOR), items))
+            | ((n <= limits.menu_line_words) & F.forall(w, lambda x: _menu_word(x)))
         )
         return (n == 0) | ~bad
 
+    def items(parts: Column) -> Column:
+        """Several separated items, none of them long."""
+        full = F.filter(parts, lambda x: x.rlike(r"[\p{L}\p{N}]"))
+        return let(full, lambda x: (F.size(x) >= limits.nav_items) & F.forall(x, lambda y: F.size(space_words(y)) <= limits.nav_item_words))
+
     return let(space_words(line), judged)
 
 
+def _menu_word(word: Column) -> Column:
+    bare = F.regexp_replace(F.lower(word), r"[^\p{L}]", "")
+    return (bare == "") | bare.isin(*sorted(MENU_WORDS))
+
+
+def _short(line: Column, limits: QualityLimits) -> Column:
+    """True for a line of few words that no mark ends, as an item of a list of links is."""
+    return ~line.rlike(_TERMINAL) & line.rlike(r"\p{L}") & (F.size(space_words(line)) <= limits.nav_item_words)
+
+
+def _not_in_run(lines: Column, limits: QualityLimits) -> Column:
+    """The lines without those in a run of short ones; blank lines neither end a run nor count."""
+
+    def marked(full: Column) -> Column:
+        # The places of the lines that end runs, with the two ends of the text.
+        stops = F.concat(F.array(F.lit(-1)), F.filter(F.transform(full, lambda x, i: F.when(~_short(x["line"], limits), i)), lambda i: i.isNotNull()), F.array(F.size(full)))
+        runs = lambda s: F.filter(F.transform(s, lambda x, j: F.struct((x + 1).alias("a"), F.get(s, j + 1).alias("b"))), lambda r: r["b"] - r["a"] >= limits.short_run_lines)
+        places = lambda r: F.flatten(F.transform(r, lambda y: F.transform(F.slice(full, y["a"] + 1, y["b"] - y["a"]), lambda z: z["i"])))
+        return let(stops, lambda s: let(runs(s), places))
+
+    full = F.filter(F.transform(lines, lambda x, i: F.struct(i.alias("i"), x.alias("line"))), lambda x: x["line"].rlike("[^\\x20\\x09-\\x0D]"))
+    without = lambda gone: F.when(F.size(gone) == 0, lines).otherwise(
+        F.transform(F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), gone), lambda i: F.get(lines, i))
+    )
+    return F.when(F.size(lines) >= limits.short_run_lines, let(let(full, marked), without)).otherwise(lines)
+
+
 def _measured(text: Column, limits: QualityLimits) -> Column:
     """One struct with every measure of a text and its text without failing lines.
 
@@ -137,6 +202,7 @@ def _measured(text: Column, limits: QualityLimits) -> Column:
                 _repeat_words(w, limits.window).alias("n_repeat_words"),
                 F.contains(t, F.lit("!!")).alias("shouts"),
                 boiler.alias("boiler"),
+                t.rlike(_NAV_SEPARATOR).alias("bars"),
             )
             return let(seen, lambda x: let(of_lines(t, x), lambda y: result(t, w, x, y)))
 
@@ -148,15 +214,15 @@ def _measured(text: Column, limits: QualityLimits) -> Column:
             (seen["n_repeat_words"] > 0).alias("repeats"),
             seen["shouts"].alias("shouts"),
             seen["boiler"].alias("boiler"),
+            seen["bars"].alias("bars"),
         )
 
         def cleaned(x: Column) -> Column:
             def judged(f: Column) -> Column:
-                kept = let(
-                    F.filter(x, lambda line: _line_passes(line, f, limits)),
+                return let(
+                    F.filter(_not_in_run(x, limits), lambda line: _line_passes(line, f, limits)),
                     lambda y: F.when(F.size(y) == F.size(x), t).otherwise(F.array_join(y, "\n")),
                 )
-                return F.when(f["symbols"] | f["repeats"] | f["shouts"] | f["boiler"], kept).otherwise(t)
 
             return let(flags, judged)
 

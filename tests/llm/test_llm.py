@@ -322,6 +322,24 @@ def test_line_rules(spark):
     assert {r["doc_id"] for r in quality.clean_documents(df).collect()} == {1, 3}
 
 
+
+def test_line_rules_of_navigation_punctuation_and_languages(spark):
+    good = "This is an ordinary sentence of more than ten words, all told here."
+    bad = [
+        "Home · About · Contact · Login", "Next page Previous page", "Accueil » Produits » Chaussures", "Startseite / Kontakt / Impressum", "Inicio • Noticias • Ayuda",
+        "....", "? ? ? ? ?", "-----=====-----", "Products\n\nOur team\nOpen positions\nPress kit\nDownloads",
+        "© 2020 Tous droits réservés.", "Alle Rechte vorbehalten, Berlin.", "Todos los derechos reservados en Madrid.", "Lea nuestra política de privacidad.",
+    ]
+    fine = ["Home is where I left it; the next page was blank.", "A heading", "Either/or, and/or: one · two", "She said: \"No!\"", "First\nsecond\nthird", "Go.\nStop.\nLook.\nRun."]
+    rows = [(i, f"{good}\n{x}\n{good[::-1]}") for i, x in enumerate(bad + fine)] + [(99, "\n".join(bad))]
+    got = by_id(quality.quality_rules(spark.createDataFrame(rows, "doc_id long, text string")))
+    for i in range(len(bad)):
+        assert got[i]["cleaned_text"].replace("\n\n", "\n") == f"{good}\n{good[::-1]}", bad[i]
+    for i, text in rows[len(bad) : -1]:
+        assert got[i]["cleaned_text"] == text
+    assert not got[99]["kept"]
+
+
 def test_empty_tables(spark, empty):
     pages = spark.createDataFrame([], "page_id long, url string, html string")
     turns = spark.createDataFrame([], "conv_id long, turn long, role string, text string")
