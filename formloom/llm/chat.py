@@ -3,11 +3,11 @@
 A line that starts with ``>`` marks is quoted, as deep as it has marks.  Adjacent
 quoted lines of one depth form a passage, which is normalised (letters and digits
 only, lower case) and hashed.  Passages are joined to messages of the same
-conversation whose unquoted text holds that passage as a run of whole lines or as
-the whole message; the latest earlier message wins.  A turn without a link answers
+conversation whose unquoted text holds that passage as a run of whole lines, as a
+run of words (part of a line, or lines wrapped anew) or as the whole message; the latest earlier message wins.  A turn without a link answers
 the turn before it.  Conversations are built in reply order without the quotes.
 
-Messages post the runs of their lines that are as long as some passage of their
+Messages post the runs of their lines and words that are as long as some passage of their
 conversation.  The latest earlier message is found per (conversation, hash) by a
 running maximum over blocks of turns, not by pairs, so a passage that many turns
 state and many quote costs no more than its rows.
@@ -45,14 +45,26 @@ def _lines(text: Column) -> Column:
     )
 
 
+def _words(bodies: Column) -> Column:
+    """The normalised words of some lines, however they are wrapped."""
+    return F.filter(F.transform(F.split(F.array_join(bodies, " "), r"\s+"), _normal), lambda x: x != "")
+
+
+def _run_hash(words: Column) -> Column:
+    """Hash of a run of words; it differs from the hash of the same text as lines."""
+    return F.xxhash64(F.lit("words"), F.array_join(words, " "))
+
+
 def _passages(lines: Column) -> Column:
-    """(n, hash) of the quoted passages, adjacent lines of one depth; n counts the lines with a letter or digit."""
+    """(n, hash, m, run) of the quoted passages, adjacent lines of one depth; n counts the lines with a letter or digit, m the words."""
 
     def passage(start: Column, stop: Column) -> Column:
-        bodies = F.transform(F.slice(lines, start, stop - start), lambda x: _normal(x["body"]))
+        bodies = F.transform(F.slice(lines, start, stop - start), lambda x: x["body"])
         return let(
-            F.filter(bodies, lambda x: x != ""),
-            lambda x: F.struct(F.size(x).alias("n"), F.xxhash64(F.array_join(x, "")).alias("hash")),
+            F.struct(F.filter(F.transform(bodies, _normal), lambda x: x != "").alias("l"), _words(bodies).alias("w")),
+            lambda x: F.struct(
+                F.size(x["l"]).alias("n"), F.xxhash64(F.array_join(x["l"], "")).alias("hash"), F.size(x["w"]).alias("m"), _run_hash(x["w"]).alias("run")
+            ),
         )
 
     depths = F.transform(lines, lambda x: x["depth"])
@@ -81,15 +93,16 @@ def link_turns(
         let(_lines(turns[text_col]), lambda x: F.struct(
             F.trim(F.array_join(F.transform(F.filter(x, lambda y: y["depth"] == 0), lambda y: y["body"]), "\n")).alias("content"),
             F.filter(F.transform(F.filter(x, lambda y: y["depth"] == 0), lambda y: _normal(y["body"])), lambda y: y != "").alias("own"),
-            F.when(F.exists(x, lambda y: y["depth"] > 0), _passages(x)).otherwise(F.array().cast("array<struct<n:int,hash:bigint>>")).alias("quotes"),
+            _words(F.transform(F.filter(x, lambda y: y["depth"] == 0), lambda y: y["body"])).alias("words"),
+            F.when(F.exists(x, lambda y: y["depth"] > 0), _passages(x)).otherwise(F.array().cast("array<struct<n:int,hash:bigint,m:int,run:bigint>>")).alias("quotes"),
         )).alias("m"),
-    ).select("conv_id", "turn", "role", "m.content", "m.own", "m.quotes")
+    ).select("conv_id", "turn", "role", "m.content", "m.own", "m.words", "m.quotes")
     keyed = "conv_id is not null and turn is not null"
-    quotes = rows.filter(keyed).select("conv_id", "turn", F.explode("quotes").alias("q")).select("conv_id", "turn", "q.n", "q.hash").distinct()
+    quotes = rows.filter(keyed).select("conv_id", "turn", F.explode("quotes").alias("q")).select("conv_id", "turn", "q.*").distinct()
     # What a message may be quoted by: the runs of its lines as long as a passage of its conversation, and all of it.
     # A conversation without quotes posts nothing, however long it is.
     lengths = quotes.select("conv_id", "n").distinct()
-    stated = rows.filter(keyed).filter(F.size("own") > 0).select("conv_id", "turn", "own")
+    stated = rows.filter(keyed).filter(F.size("own") > 0).select("conv_id", "turn", "own", "words")
     runs = (
         stated.join(lengths, "conv_id").filter(F.col("n") <= F.size("own"))
         .select("conv_id", "turn", F.explode(F.transform(
@@ -97,9 +110,17 @@ def link_turns(
         )).alias("hash"))
     )
     wholes = stated.join(lengths.select("conv_id").distinct(), "conv_id", "left_semi").select("conv_id", "turn", F.xxhash64(F.array_join("own", "")).alias("hash"))
-    asked = quotes.select("conv_id", "hash", "turn").distinct()
-    links = _latest_before(asked, runs.union(wholes).distinct()).groupBy("conv_id", "turn").agg(
-        F.max("from_turn").alias("linked_to"), F.count("*").alias("n_linked")
+    # Runs of words as long as a passage find a part of a line or message, and lines wrapped anew.
+    word_runs = (
+        stated.join(quotes.select("conv_id", "m").distinct(), "conv_id").filter((F.col("m") > 0) & (F.col("m") <= F.size("words")))
+        .select("conv_id", "turn", F.explode(F.transform(
+            F.sequence(F.lit(1), F.size("words") - F.col("m") + 1), lambda i: _run_hash(F.slice("words", i, F.col("m")))
+        )).alias("hash"))
+    )
+    keys = quotes.select("conv_id", "turn", F.col("hash").alias("passage"), F.explode(F.array("hash", "run")).alias("hash"))
+    found = _latest_before(keys.select("conv_id", "hash", "turn").distinct(), runs.union(wholes).union(word_runs).distinct())
+    links = found.join(keys.distinct(), ["conv_id", "turn", "hash"]).groupBy("conv_id", "turn").agg(
+        F.max("from_turn").alias("linked_to"), F.count_distinct("passage").alias("n_linked")
     )
     # The turn before: equal to "the greatest smaller turn", found without gathering a conversation.
     before = _turn_before(rows.filter(keyed).select("conv_id", "turn").distinct())
@@ -156,17 +177,61 @@ def _turn_before(turns: DataFrame, block: int = 1024) -> DataFrame:
     )
 
 
+def _line_of(template: str) -> Column:
+    before, _, rest = template.partition("{role}")
+    middle, _, after = rest.partition("{text}")
+    return F.concat(
+        F.lit(before), F.coalesce("role", F.lit("unknown")), F.lit(middle), F.coalesce("content", F.lit("")), F.lit(after)
+    )
+
+
+def conversation_parts(linked: DataFrame, template: str = "<|{role}|>\n{text}\n", block: int = 1024) -> DataFrame:
+    """conv_id, part, n_turns, text: each conversation in reply order (by parent, then turn), ``block`` turns a part.
+
+    The parts of a conversation, joined by ``part``, are its text.  The place of a turn is
+    added up from counts of blocks, so neither a huge conversation nor a turn with many
+    answers is gathered in one place.
+    """
+    from pyspark.sql import Window
+
+    rows = linked.select("conv_id", F.coalesce("reply_to", F.lit(-1)).alias("p"), "turn", _line_of(template).alias("x"))
+    rows = rows.withColumn("pb", F.floor(F.col("p") / block)).withColumn("tb", F.floor(F.col("turn") / block))
+
+    def before(of: DataFrame, group: list[str], by: str, name: str) -> DataFrame:
+        w = Window.partitionBy(*group).orderBy(by).rowsBetween(Window.unboundedPreceding, -1)
+        return of.withColumn(name, F.coalesce(F.sum("n").over(w), F.lit(0)))
+
+    by_turns = rows.groupBy("conv_id", "pb", "p", "tb").agg(F.count("*").alias("n"))
+    by_parents = by_turns.groupBy("conv_id", "pb", "p").agg(F.sum("n").alias("n"))
+    by_blocks = by_parents.groupBy("conv_id", "pb").agg(F.sum("n").alias("n"))
+    a = before(by_turns, ["conv_id", "p"], "tb", "in_parent").drop("n")
+    b = before(by_parents, ["conv_id", "pb"], "p", "in_block").drop("n")
+    c = before(by_blocks, ["conv_id"], "pb", "in_all").drop("n")
+
+    def meet(x: DataFrame, y: DataFrame, keys: list[str]) -> DataFrame:
+        y = y.select(*[F.col(k).alias(f"__{k}") for k in keys], *[k for k in y.columns if k not in keys])
+        same = F.lit(True)
+        for k in keys:
+            same = same & x[k].eqNullSafe(y[f"__{k}"])
+        return x.join(y, same).drop(*[f"__{k}" for k in keys])
+
+    start = meet(meet(a, b, ["conv_id", "pb", "p"]), c, ["conv_id", "pb"])
+    near = F.row_number().over(Window.partitionBy("conv_id", "p", "tb").orderBy("turn", "x"))
+    placed = meet(rows.withColumn("near", near).drop("pb"), start.drop("pb"), ["conv_id", "p", "tb"])
+    placed = placed.withColumn("place", F.col("in_all") + F.col("in_block") + F.col("in_parent") + F.col("near") - 1)
+    return placed.groupBy("conv_id", F.floor(F.col("place") / block).alias("part")).agg(
+        F.count("*").alias("n_turns"),
+        F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("place", "x"))), lambda s: s["x"]), "").alias("text"),
+    )
+
+
 def conversations(linked: DataFrame, template: str = "<|{role}|>\n{text}\n") -> DataFrame:
     """conv_id, n_turns, text: each conversation as one text in reply order (by parent, then turn).
 
     A conversation's turns meet in one row, which is what its text is; one
     conversation is bounded by what a training example may hold.
     """
-    before, _, rest = template.partition("{role}")
-    middle, _, after = rest.partition("{text}")
-    line = F.concat(
-        F.lit(before), F.coalesce("role", F.lit("unknown")), F.lit(middle), F.coalesce("content", F.lit("")), F.lit(after)
-    )
+    line = _line_of(template)
     return linked.groupBy("conv_id").agg(
         F.count("*").alias("n_turns"),
         F.array_join(

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .bpe import round_trip_digests
-from .chat import link_turns
+from .chat import conversation_parts, link_turns
 from .counts import Rollup
 from .decontaminate import decontaminate
 from .langid import identify_language
@@ -16,7 +16,7 @@ from .neardup import near_duplicates
 from .quality import quality_rules
 from .repeats import remove_repeats
 from .secrets import scan_secrets
-from .shared import shared_root
+from .shared import shared_root, written
 from .urls import judge_urls
 
 
@@ -52,7 +52,8 @@ def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return link_turns(_table(spark, sf_dir, "conversations"))
+    """The conversations in reply order without quotes, in parts of 1,024 turns, which bound a row."""
+    return conversation_parts(written(link_turns(_table(spark, sf_dir, "conversations")), "chat-linked"))
 
 
 def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:

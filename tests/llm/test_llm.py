@@ -177,6 +177,31 @@ def test_chat_links_match_brute_force(spark):
     assert sum(x[2] for x in want.values()) > 40
 
 
+
+def test_chat_partial_quotes_and_parts(spark, tmp_path):
+    from formloom.llm.queries import op5_chat_format
+
+    said = "Sorting is stable here. Use the key argument for it,\nand pass reverse if\nyou want it backwards."
+    rows = [
+        (1, 0, "user", said), (1, 1, "assistant", "Something else."), (1, 2, "user", "> Use the key argument for it,\nWhy?"),
+        (1, 3, "assistant", "> and pass reverse\n> if you want\n> it backwards\nRight."), (1, 4, "user", "> stable key\nWhat?"), (None, 3, None, None),
+    ]
+    df = spark.createDataFrame(rows + [(2, i, "user", f"t{i}") for i in range(40)], "conv_id long, turn long, role string, text string")
+    linked = chat.link_turns(df)
+    got = {(r["conv_id"], r["turn"]): (r["reply_to"], r["n_linked"]) for r in linked.collect()}
+    assert [got[1, t] for t in (2, 3, 4)] == [(0, 1), (0, 1), (3, 0)]
+    whole = {r["conv_id"]: (r["n_turns"], r["text"]) for r in chat.conversations(linked).collect()}
+    for block in (3, 1024):
+        parts = {}
+        for r in sorted(chat.conversation_parts(linked, block=block).collect(), key=lambda r: r["part"]):
+            assert r["n_turns"] <= block
+            n, text = parts.get(r["conv_id"], (0, ""))
+            parts[r["conv_id"]] = (n + r["n_turns"], text + r["text"])
+        assert parts == whole
+    df.write.parquet(f"{tmp_path}/conversations.parquet")
+    assert {r["conv_id"]: r["text"] for r in op5_chat_format(spark, str(tmp_path)).collect()} == {k: v[1] for k, v in whole.items()}
+
+
 def test_urls(spark):
     cases = {
         "http://A.Example.COM/en/1": ("a.example.com", "/en/1", "example.com/en/"),
