@@ -1,14 +1,14 @@
 """Secret scans: rules, and a character convolutional network over every candidate.
 
 Three rules find assignments, access keys and hexadecimal runs; their spans always
-stay.  Every run of 16 or more key characters with a letter and a digit that no rule
-found is a candidate too.
+stay.  Every run of 16 or more key characters that no rule found is a candidate too.
 A small convolutional network in numpy reads each candidate with the characters
 around it, and those that score at least the threshold add a span of kind ``net``.
 
 The network is trained on labelled findings: generated keys, tokens and ordinary
 long strings in the contexts they occur in (``examples``, a fixed number).  Scores
-are calibrated on a held-out fold by a logistic scale and shift.  The threshold is
+of whole candidates, the greatest of their windows', are calibrated on a held-out fold
+by a logistic scale and shift.  The threshold is
 the one of greatest precision there among those that keep the stated recall.
 
 Defined results for odd input: null and empty texts have no findings; a null id is
@@ -36,7 +36,6 @@ ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]+")
 HEX_LONG = re.compile(r"[0-9a-f]{24,}")
 CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{16,}", re.ASCII)
-DIGIT, LETTER = re.compile("[0-9]"), re.compile("[A-Za-z]")
 
 WIDTH, CONTEXT = 48, 16  # characters of a candidate and of each side that the network reads at once
 _ALPHABET = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+/_=-.:;,'\"<>()[]{}@#$%&*!?|\\~^` \n\t"
@@ -134,9 +133,11 @@ class CharCNN:
     def logits(self, x: np.ndarray) -> np.ndarray:
         return np.concatenate([self._forward(x[a : a + 256])[4] for a in range(0, len(x), 256)]) if len(x) else np.zeros(0)
 
-    def calibrate(self, x: np.ndarray, y: np.ndarray, recall: float) -> None:
-        """Logistic scale and shift by Newton steps, then the threshold by constrained recall."""
-        s = self.logits(x)
+    def calibrate(self, x: np.ndarray, y: np.ndarray, owner: np.ndarray, recall: float) -> None:
+        """Logistic scale and shift by Newton steps, then the threshold by constrained recall, over whole candidates."""
+        _, first, owner = np.unique(owner, return_index=True, return_inverse=True)
+        s, y = np.full(len(first), -np.inf), y[first]
+        np.maximum.at(s, owner, self.logits(x))
         w = np.array([1.0, 0.0])
         a = np.stack([s, np.ones_like(s)], axis=1)
         for _ in range(25):
@@ -144,7 +145,7 @@ class CharCNN:
             h = (a * (p * (1 - p))[:, None]).T @ a + 1e-2 * np.eye(2)
             w -= np.linalg.solve(h, a.T @ (p - y) + 1e-2 * (w - [1, 0]))
         self.scale, self.shift = w
-        p = self.probability(x)
+        p = 1 / (1 + np.exp(-np.clip(s * self.scale + self.shift, -30, 30)))
         best = max(
             (t for t in np.unique(p) if (p[y == 1] >= t).mean() >= recall),
             key=lambda t: ((y[p >= t] == 1).mean(), -t),
@@ -157,11 +158,17 @@ class CharCNN:
 
 
 def labelled_findings(examples: int, seed: int = 11) -> tuple[np.ndarray, np.ndarray]:
-    """Windows and labels of generated findings: keys of many shapes, and strings that only look long."""
+    """Windows and labels of generated findings."""
+    return labelled_candidates(examples, seed)[:2]
+
+
+def labelled_candidates(examples: int, seed: int = 11) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """All windows of generated findings with label and finding: keys of many shapes, and strings that only look long."""
     r = np.random.default_rng(seed)
     lower, digits = "abcdefghijklmnopqrstuvwxyz", "0123456789"
     mixed = lower + lower.upper() + digits
     syllables = [c + v for c in "bcdfghlmnprstvw" for v in "aeiou"] + ["tion", "ing", "heit", "ment", "ung", "que", "th", "er"]
+    groups = "sch ich ver keit lich zu und ein eau oux ous elle ge ber ach pf tz st ren be an en ist nicht gen au ou re le es ar os ue ent on the and ing".split()
 
     def pick(alphabet, n: int) -> str:
         return "".join(alphabet[j] for j in r.integers(0, len(alphabet), n))
@@ -172,18 +179,19 @@ def labelled_findings(examples: int, seed: int = 11) -> tuple[np.ndarray, np.nda
     def prose(n: int) -> str:
         return " ".join(word() for _ in range(n))
 
-    x, y = [], []
+    x, y, owner = [], [], []
     for i in range(examples):
         secret = i % 2 == 0
-        n = int(r.integers(20, 48))
+        n = int(r.integers(16, 48)) if r.random() < 0.85 else int(r.integers(48, 120))
         if secret:
             body = [
                 lambda: pick(mixed, n),
+                lambda: pick(lower + lower.upper(), n),
                 lambda: pick("0123456789abcdef", n),
                 lambda: "AKIA" + pick(lower.upper() + digits, 16),
                 lambda: str(r.choice(["ghp_", "sk_live_", "xoxb-", "glpat-"])) + pick(mixed, n),
                 lambda: pick(mixed + "+/", n) + "==",
-            ][int(r.integers(0, 5))]()
+            ][int(r.integers(0, 6))]()
             lead = str(r.choice(["token = \"", "key: ", "secret=", "Authorization: Bearer ", "", ""]))
         else:
             body = [
@@ -192,33 +200,35 @@ def labelled_findings(examples: int, seed: int = 11) -> tuple[np.ndarray, np.nda
                 lambda: "_".join(word() for _ in range(5)),
                 lambda: "/".join(word() for _ in range(6)),
                 lambda: pick(digits, int(r.integers(16, 30))),
-                lambda: str(r.choice(list("-=_/+*"))) * n,
+                lambda: str(r.choice(list("-=_/+"))) * n,
+                lambda: str(r.choice(list(mixed))) * n,
+                lambda: str(r.choice(list(mixed))) * (4 * n),
+                lambda: pick([word() for _ in range(3)], n // 2),
+                lambda: pick(groups, int(r.integers(6, 14))),
+                lambda: pick(groups, int(r.integers(6, 14))).capitalize(),
                 lambda: pick([word()], 8),
                 lambda: pick(syllables, 10).upper(),
                 lambda: f"/{word()}/{word()}/{r.integers(1990, 2030)}/{r.integers(10, 99)}/{word()}",
-            ][int(r.integers(0, 9))]()
+            ][int(r.integers(0, 14))]()
             lead = str(r.choice(["", "", "see ", "https://", "id "]))
-        if not DIGIT.search(body):  # a candidate holds a digit and a letter
-            body += str(r.integers(0, 2030))
-        if not LETTER.search(body):
-            body = word() + body
         if len(body) < 16:
             body = body + pick(syllables, 9)
         before, after = prose(4) + " " + lead, str(r.choice(["\" ", " ", ". ", "\n"])) + prose(4)
-        for line in windows(before + body + after, len(before), len(before) + len(body))[:1]:
+        for line in windows(before + body + after, len(before), len(before) + len(body)):
             x.append(line)
             y.append(float(secret))
-    return np.array(x), np.array(y)
+            owner.append(i)
+    return np.array(x), np.array(y), np.array(owner)
 
 
 @lru_cache(maxsize=4)
 def trained(examples: int = 3000, recall: float = 0.95) -> CharCNN:
     """The network: four fifths of the labelled findings train it, the last calibrates it."""
-    x, y = labelled_findings(examples)
-    cut = len(x) * 4 // 5
+    x, y, owner = labelled_candidates(examples)
+    cut = int(np.searchsorted(owner, examples * 4 // 5))
     net = CharCNN()
     net.fit(x[:cut], y[:cut])
-    net.calibrate(x[cut:], y[cut:], recall)
+    net.calibrate(x[cut:], y[cut:], owner[cut:], recall)
     return net
 
 
@@ -230,8 +240,6 @@ def find_spans(texts: list[str], net: CharCNN) -> list[list[tuple[int, int, str,
         found.append(spans)
         taken = [(s, e) for s, _, _, e in spans]
         for m in CANDIDATE.finditer(text):
-            if not (DIGIT.search(m[0]) and LETTER.search(m[0])):
-                continue
             if not any(s < m.end() and m.start() < e for s, e in taken):
                 w = windows(text, m.start(), m.end())
                 lines += w

@@ -120,6 +120,19 @@ def test_secrets(docs, texts, spark):
     assert "aZ3k" not in secrets.redact_secrets(spark.createDataFrame([(1, key)], "doc_id long, text string")).first()["text"]
 
 
+
+def test_keys_without_digits_are_scored():
+    r = random.Random(9)
+    letters = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ"
+    texts = ["the key is " + "".join(r.choice(letters) for _ in range(r.randint(20, 100))) + " as agreed" for _ in range(200)]
+    net = secrets.trained()
+    assert sum(any(s[2] == "net" for s in x) for x in secrets.find_spans(texts, net)) >= 170
+    x, y, owner = secrets.labelled_candidates(800, seed=78)
+    hit = net.probability(x) >= net.threshold
+    found = [hit[owner == i].any() for i in sorted(set(owner[y == 1]))]
+    assert np.mean(found) >= 0.92
+
+
 def test_language(spark):
     en, fr = "the house and the garden with the other ", "le jardin et la maison avec les autres "
     labelled = spark.createDataFrame([("en", en * 20), ("fr", fr * 20), (None, "x"), ("de", "der garten und das haus")], "lang string, text string")
