@@ -64,8 +64,20 @@ def _memos(spark: SparkSession, sf_dir: str) -> DataFrame:
 2::integer as n_kpis, 'Revenue:' || (o_orderkey % 50) || '.5' as first_kpi, 'Margin:+3 pts' as second_kpi,
 'Expand the sales team of region ' || (o_orderkey % 9) || ' now' as first_recommendation from orders where o_orderkey % 7 <> 0""")
 def business_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _business(_memos(spark, sf_dir).filter("o_orderkey % 7 <> 0"))
+
+
+@_query("""select o_orderkey, 'Strategic Briefing' as subtype, 'Year ' || o_orderkey || ' was good.' as summary,
+2::integer as n_kpis, 'Revenue:' || (o_orderkey % 50) || '.5' as first_kpi, 'Margin:+3 pts' as second_kpi,
+'Expand the sales team of region ' || (o_orderkey % 9) || ' now' || case when o_orderkey % 7 = 0 then '.' else '' end as first_recommendation from orders""")
+def business_report_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every order, those without the recommendations' header too."""
+    return _business(_memos(spark, sf_dir))
+
+
+def _business(memos: DataFrame) -> DataFrame:
     text = F.col("text")
-    rows = _memos(spark, sf_dir).filter("o_orderkey % 7 <> 0").select(
+    rows = memos.select(
         "o_orderkey", reports.document_subtype(text).alias("subtype"), reports.executive_summary(text).alias("summary"),
         reports.kpis(text).alias("k"), reports.recommendations(text).alias("r"),
     )

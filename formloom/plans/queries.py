@@ -198,6 +198,19 @@ def template_match(spark: SparkSession, sf_dir: str) -> DataFrame:
     return best.select("vec_id", "ord", *[(F.col("score") >= c).alias(n) for c, n in ((0.55, "adaptive_hit"), (0.68, "llm_hit"), (0.85, "merge_hit"))])
 
 
+@_query("""with r as (select *, row_number() over (partition by label order by vec_id) as r from embeddings), t as (select label, vec_id, embedding from r where r <= 20),
+c as (select vec_id, label, list_transform(range(1, 65), lambda i: case when i > 64 - 8 * (vec_id % 8) then 0.0 else embedding[i]::double end) as v from embeddings),
+s as (select c.vec_id, c.label, t.vec_id as ord, round(coalesce(list_dot_product(c.v, t.embedding::double[]) / nullif(sqrt(list_dot_product(c.v, c.v)) * sqrt(list_dot_product(t.embedding::double[], t.embedding::double[])), 0), 0), 4) as score from c join t using (label))
+select vec_id, ord, score >= 0.55 as adaptive_hit, score >= 0.68 as llm_hit, score >= 0.85 as merge_hit from (select *, row_number() over (partition by vec_id order by score desc, ord) as k from s) where k = 1""")
+def template_match_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every row of embeddings against the store, which alone has the cap."""
+    rows = table(spark, sf_dir, "embeddings").select(F.col("label").alias("document_type"), F.col("vec_id").alias("ord"), F.col("embedding").alias("vector"))
+    store = templates.keep_newest(rows.withColumn("ord", -F.col("ord"))).withColumn("ord", -F.col("ord"))
+    docs = rows.select("document_type", F.col("ord").alias("vec_id"), F.transform("vector", lambda x, i: F.when(i >= 64 - 8 * (F.col("ord") % 8), 0.0).otherwise(x.cast("double"))).alias("vector"))
+    best = templates.best_template(docs, store, "vec_id")
+    return best.select("vec_id", "ord", *[(F.col("score") >= c).alias(n) for c, n in ((0.55, "adaptive_hit"), (0.68, "llm_hit"), (0.85, "merge_hit"))])
+
+
 @_query("select label, vec_id from (select *, row_number() over (partition by label order by vec_id desc) as r from embeddings) where r <= 20")
 def template_cap_eviction(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "embeddings").select(F.col("label").alias("document_type"), F.col("vec_id").alias("ord"))

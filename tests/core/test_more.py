@@ -106,3 +106,11 @@ def test_anchors_score_what_has_no_similarity(spark):
     )
     got = {x["doc"]: (x["ord"], x["score"]) for x in templates.best_template(docs, store).collect()}
     assert got == {1: (1, 0.6667), 2: (0, 1.0), 3: (0, 0.0)}
+
+
+def test_whole_tables_are_matched_and_reported(spark):
+    import __spark_entry__ as entry
+
+    for name, source in (("template_match_all", "embeddings"), ("business_report_all", "orders")):
+        whole = spark.read.parquet(f"/root/testdata/sf0.001/{source}.parquet")
+        assert entry.queries()[name](spark, "/root/testdata/sf0.001").count() == whole.count()
