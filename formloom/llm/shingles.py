@@ -7,6 +7,8 @@ values, taken from running sums, so one pass serves a whole block of texts.
 
 from __future__ import annotations
 
+import re
+
 import numpy as np
 
 BLOCK = 1 << 19  # bytes handled at once; a longer text goes through in pieces cut between words
@@ -17,6 +19,8 @@ _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[32, 9, 10, 11, 12, 13]] = True
+_SEPARATORS = (b" ", b"\n", b"\t", b"\r", b"\x0b", b"\x0c")
+_SEPARATOR = re.compile(rb"[\x20\x09-\x0D]")
 _R = 0x9E3779B97F4A7C15
 _R_INVERSE = pow(_R, -1, 1 << 64)
 _powers: dict[str, np.ndarray] = {}
@@ -40,11 +44,13 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 
 def _pieces(raw: bytes):
-    """Cuts a long text between words; a single word longer than a block is cut too, the same way in each text."""
+    """Cuts a long text between words; a word longer than a block is a piece of its own."""
     at = 0
     while len(raw) - at > BLOCK:
-        stop = max(raw.rfind(c, at + 1, at + BLOCK) for c in (b" ", b"\n", b"\t"))
-        stop = stop if stop > at else at + BLOCK
+        stop = max(raw.rfind(c, at + 1, at + BLOCK) for c in _SEPARATORS)
+        if stop <= at:
+            end = _SEPARATOR.search(raw, at + BLOCK)
+            stop = end.start() if end else len(raw)
         yield raw[at:stop]
         at = stop
     yield raw[at:]
@@ -57,6 +63,12 @@ def word_hashes(texts: list[bytes]) -> list[np.ndarray]:
     size = 0
     for i, raw in enumerate(texts):
         for piece in _pieces(raw):
+            if len(piece) > BLOCK:
+                if block:
+                    _hash_block(block, out)
+                    block, size = [], 0
+                out[i].append(_hash_long(piece))
+                continue
             if block and size + len(piece) + 1 > BLOCK:
                 _hash_block(block, out)
                 block, size = [], 0
@@ -67,6 +79,18 @@ def word_hashes(texts: list[bytes]) -> list[np.ndarray]:
     return [x[0] if len(x) == 1 else np.concatenate(x) if x else np.zeros(0, np.uint64) for x in out]
 
 
+def _hash_long(piece: bytes) -> np.ndarray:
+    """The hash of the one word of a piece longer than a block, from sums carried over from part to part."""
+    data = np.frombuffer(piece, dtype=np.uint8)
+    data = data[~_SPACE[data]]
+    total = 0
+    for at in range(0, len(data), BLOCK):
+        part = _LOWER[data[at : at + BLOCK]]
+        total += int((_VALUE[part] * _power(_R, "up")[: len(part)]).sum(dtype=np.uint64)) * pow(_R, at, 1 << 64)
+    total += len(data) * _R
+    return mix(np.array([total % (1 << 64)], dtype=np.uint64))
+
+
 def _hash_block(block: list[tuple[int, bytes]], out: list[list[np.ndarray]]) -> None:
     data = np.frombuffer(b" ".join(p for _, p in block) + b" ", dtype=np.uint8)
     data = _LOWER[data]
