@@ -84,8 +84,8 @@ def short_prefix_ends(text: np.ndarray, order: np.ndarray, least: int) -> np.nda
     return marked[:n]
 
 
-def repeated_windows(pieces: list[bytes], least: int) -> list[tuple[np.ndarray, np.ndarray]]:
-    """Groups of equal ``least``-byte strings, as (piece numbers, offsets), of two or more members."""
+def repeated_windows(pieces: list[bytes], least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(piece, offset, group) of the ``least``-byte strings that occur twice or more, equal ones in one group."""
     lengths = np.array([len(p) for p in pieces])
     text = np.empty(int(lengths.sum()) + len(pieces), dtype=np.int32)
     starts = np.cumsum(lengths + 1) - (lengths + 1)
@@ -100,5 +100,4 @@ def repeated_windows(pieces: list[bytes], least: int) -> list[tuple[np.ndarray,
     group = np.cumsum(breaks)
     sizes = np.bincount(group)
     keep = np.flatnonzero(valid & (sizes[group] > 1))
-    cuts = np.flatnonzero(np.diff(group[keep])) + 1
-    return list(zip(np.split(piece[keep], cuts), np.split(offset[keep], cuts), strict=True)) if len(keep) else []
+    return piece[keep], offset[keep], group[keep]

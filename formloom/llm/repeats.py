@@ -2,20 +2,22 @@
 
 Only strings of at least ``least`` bytes matter, so the corpus need not meet in one
 suffix array.  Each window of that many bytes is filed under the smallest hash of the
-grams in it, leftmost among equals: equal windows have equal ones.  Neighbouring
-windows filed under one gram form a segment.  Segments whose gram occurs once in the
-corpus cannot repeat.  Equal segments are summed up first: all but the earliest are
-repeats throughout.  The earliest ones of each gram are compared by interval
-expansion on a Burrows-Wheeler transform (``bwt``), many grams to a block.  A gram
-with more unlike segments than ``bucket`` would make a block of any size, so its
-windows are hashed and grouped instead, which gives the same.
-
-Texts that are equal as a whole are one class, of which the smallest id is compared.
+grams in it: equal windows have equal ones.  Neighbouring windows filed under one gram
+form a segment, of at most as many windows as a gram can lie in, so periodic text gives
+segments of about twice its bytes.  Segments whose gram occurs once in the corpus cannot
+repeat.  Equal segments, equal in the hash of their gram and a hash of all their bytes,
+are summed up first: all but the earliest are repeats throughout.  The earliest ones of
+each gram are compared by interval expansion on a Burrows-Wheeler transform (``bwt``),
+many grams to a block.  A gram with more unlike segments than ``bucket`` would make a
+block of any size, so its windows are hashed and grouped instead, which gives the same.
+
+A text is known by its id and a hash.  Building the frame runs jobs: each step is a table
+in the shared folder, and a step's table is deleted after its last use.
 
 Defined results for odd input: a null or empty text has no bytes; a null id comes
-after all others; rows alike in id and text are one text and each get its result;
-unlike texts under one id count as one place, so that each loses the spans of all;
-an empty table gives an empty table; only the id and text columns are read.
+after all others; rows alike in id and text are one text and each get its result; of
+unlike texts under one id the one with the smaller hash counts as earlier; an empty
+table gives an empty table; only the id and text columns are read.
 """
 
 from __future__ import annotations
@@ -26,15 +28,14 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from .bwt import repeated_windows
-from .shared import written
+from .shared import drop_written, written
 from .shingles import mix
 
-GRAM = 16
-BLOCK = 1 << 19
-_PLACE = np.uint64((1 << 20) - 1)  # room for a place in a block and the window that ends beyond it
+GRAM = 32
+BLOCK = 1 << 16  # bytes hashed at once
+COMPARED = 1 << 19  # bytes to a transform
 _rng = np.random.default_rng(20240608)
 _VALUE = _rng.integers(1, 1 << 63, 256, dtype=np.uint64)
 _R = 0x9E3779B97F4A7C15
@@ -49,157 +50,179 @@ def _power(base: int, name: str, n: int) -> np.ndarray:
     return _tables[name][:n]
 
 
-def segments(raw: bytes, least: int) -> tuple[np.ndarray, ...]:
-    """(gram hash, segment hash, start, stop) of the segments of one text."""
-    parts = []
-    for at in range(0, max(len(raw) - least + 1, 0), BLOCK):
-        parts.append([x + (at if i > 1 else 0) for i, x in enumerate(_piece(raw[at : at + BLOCK + least - 1], least))])
+def segments(texts: list[bytes], least: int) -> tuple[np.ndarray, ...]:
+    """(text, gram hash, segment hash, start, stop, first) of the segments of some texts.
+
+    ``first`` is false for a segment that its own text has before, byte for byte.
+    """
+    parts: list[list[np.ndarray]] = []
+    block: list[tuple[int, int, bytes]] = []
+    size = 0
+    for i, raw in enumerate(texts):
+        for at in range(0, len(raw) - least + 1, BLOCK):
+            piece = raw[at : at + BLOCK + least - 1]
+            if block and size + len(piece) > BLOCK:
+                parts.append(_block(block, least))
+                block, size = [], 0
+            block.append((i, at, piece))
+            size += len(piece)
+    if block:
+        parts.append(_block(block, least))
     if not parts:
-        return tuple(np.zeros(0, np.int64) for _ in range(4))
-    return tuple(np.concatenate(x) for x in zip(*parts, strict=True))
+        return tuple(np.zeros(0, np.int64) for _ in range(5)) + (np.zeros(0, bool),)
+    owner, fp, sh, start, stop = (np.concatenate(x) for x in zip(*parts, strict=True))
+    order = np.lexsort((start, sh, owner))
+    again = (owner[order][1:] == owner[order][:-1]) & (sh[order][1:] == sh[order][:-1])
+    first = np.ones(len(owner), dtype=bool)
+    first[order[1:]] = ~again
+    return owner, fp, sh, start, stop, first
 
 
-def _piece(raw: bytes, least: int) -> list[np.ndarray]:
-    data = np.frombuffer(raw, dtype=np.uint8)
+def _block(pieces: list[tuple[int, int, bytes]], least: int) -> list[np.ndarray]:
+    data = np.frombuffer(b"".join(x for _, _, x in pieces), dtype=np.uint8)
     n = len(data)
     sums = np.zeros(n + 1, dtype=np.uint64)
     np.cumsum(_VALUE[data] * _power(_R, "up", n), out=sums[1:])
     back = _power(pow(_R, -1, 1 << 64), "down", n)
     low = mix((sums[GRAM:] - sums[: n - GRAM + 1]) * back[: n - GRAM + 1])
-    # The upper bits of a gram's hash over its position: one minimum finds the smallest, leftmost among equals.
-    packed = (low & ~_PLACE) | np.arange(len(low), dtype=np.uint64)
-    width, target = 1, least - GRAM + 1
-    while width < target:  # minima of windows by doubling
-        step = min(width, target - width)
-        packed = np.minimum(packed[:-step], packed[step:])
+    width, reach = 1, least - GRAM + 1
+    while width < reach:  # minima of windows by doubling
+        step = min(width, reach - width)
+        low = np.minimum(low[:-step], low[step:])
         width += step
-    at = (packed & _PLACE).astype(np.int64)
-    new = np.flatnonzero(np.concatenate(([True], at[1:] != at[:-1])))
-    stop = np.concatenate((new[1:], [len(at)])) - 1 + least
-    whole = mix((sums[stop] - sums[new]) * back[new] + (stop - new).astype(np.uint64) * np.uint64(_R))
-    return [low[at[new]].view(np.int64), whole.view(np.int64), new.astype(np.int64), stop.astype(np.int64)]
+    lengths = np.array([len(x) for _, _, x in pieces])
+    begin = np.cumsum(lengths) - lengths
+    windows = lengths - least + 1
+    piece = np.repeat(np.arange(len(pieces)), windows)
+    at = np.arange(len(piece)) - np.repeat(np.cumsum(windows) - windows, windows) + begin[piece]  # windows inside a piece
+    gram = low[at]
+    new = np.ones(len(at), dtype=bool)
+    new[1:] = (gram[1:] != gram[:-1]) | (piece[1:] != piece[:-1])
+    runs = np.flatnonzero(new)
+    inside = np.arange(len(at)) - np.repeat(runs, np.diff(np.append(runs, len(at))))
+    cut = np.flatnonzero(inside % reach == 0)
+    start = at[cut]
+    stop = at[np.append(cut[1:], len(at)) - 1] + least
+    whole = mix((sums[stop] - sums[start]) * back[start] + (stop - start).astype(np.uint64) * np.uint64(_R))
+    piece = piece[cut]
+    shift = np.array([x for _, x, _ in pieces])[piece] - begin[piece]
+    owner = np.array([i for i, _, _ in pieces])[piece]
+    return [owner, gram[cut].view(np.int64), whole.view(np.int64), start + shift, stop + shift]
 
 
 def _all_segments(texts: DataFrame, least: int) -> DataFrame:
-    """doc (as given), fp, sh, start, stop."""
+    """doc, th, fp, sh, start, stop, first of ``texts(doc, th, text)``."""
 
     def run(batches):
         for batch in batches:
-            for at in range(0, batch.num_rows, 128):
-                part = batch.slice(at, 128)
-                found = [segments(x.as_py() or b"", least) for x in part[1]]
-                counts = np.array([len(x[0]) for x in found])
-                columns = [pa.array(np.concatenate([x[i] for x in found]), pa.int64()) for i in range(4)]
-                owners = part[0].take(pa.array(np.repeat(np.arange(len(found)), counts)))
-                yield pa.RecordBatch.from_arrays([owners, *columns], ["doc", "fp", "sh", "start", "stop"])
+            for at in range(0, batch.num_rows, 256):
+                part = batch.slice(at, 256)
+                owner, fp, sh, start, stop, first = segments([x.as_py() or b"" for x in part[2]], least)
+                place = pa.array(owner)
+                columns = [pa.array(fp), pa.array(sh), pa.array(start, pa.int32()), pa.array(stop, pa.int32()), pa.array(first)]
+                yield pa.RecordBatch.from_arrays(
+                    [part[0].take(place), part[1].take(place), *columns], ["doc", "th", "fp", "sh", "start", "stop", "first"]
+                )
 
-    schema = T.StructType([texts.schema["doc"], *[T.StructField(c, T.LongType()) for c in ("fp", "sh", "start", "stop")]])
-    return texts.select("doc", "text").mapInArrow(run, schema)
+    return texts.select("doc", "th", "text").mapInArrow(run, "doc long, th long, fp long, sh long, start int, stop int, first boolean")
 
 
 def _compared(rows: DataFrame, least: int) -> DataFrame:
-    """Repeats (doc, start, stop) among unlike segments; ``rows`` are partitioned and sorted by gram."""
+    """Repeats (doc, th, start, stop) among unlike segments (fp, doc, th, start, bytes), partitioned and sorted by gram."""
 
     def spans(block):
-        groups = repeated_windows([r[3] for r in block], least)
-        if not groups:
-            return np.zeros((0, 3), dtype=np.int64)
-        piece = np.concatenate([p for p, _ in groups])
-        group = np.repeat(np.arange(len(groups)), [len(p) for p, _ in groups])
-        doc = np.array([r[1] for r in block], dtype=np.int64)[piece]
-        at = np.array([r[2] for r in block], dtype=np.int64)[piece] + np.concatenate([o for _, o in groups])
-        order = np.lexsort((at, doc, group))
-        group, doc, at = group[order], doc[order], at[order]
+        piece, offset, group = repeated_windows([r[4] for r in block], least)
+        doc, th = (np.array([r[i] for r in block], dtype=np.int64)[piece] for i in (1, 2))
+        at = np.array([r[3] for r in block], dtype=np.int64)[piece] + offset
+        order = np.lexsort((at, th, doc, group))
+        group, doc, th, at = group[order], doc[order], th[order], at[order]
         head = np.searchsorted(group, group)  # each group's earliest, of which repeated rows may give more than one
-        later = (doc != doc[head]) | (at != at[head])
-        doc, at = doc[later], at[later]
-        order = np.lexsort((at, doc))
-        doc, at = doc[order], at[order]
-        new = np.flatnonzero(np.concatenate(([True], (doc[1:] != doc[:-1]) | (at[1:] > at[:-1] + least))))[: len(doc)]
-        last = np.concatenate((new[1:], [len(doc)])) - 1
-        return np.stack((doc[new], at[new], at[last] + least), axis=1)
+        later = (doc != doc[head]) | (th != th[head]) | (at != at[head])
+        doc, th, at = doc[later], th[later], at[later]
+        order = np.lexsort((at, th, doc))
+        doc, th, at = doc[order], th[order], at[order]
+        new = np.ones(len(doc), dtype=bool)
+        new[1:] = (doc[1:] != doc[:-1]) | (th[1:] != th[:-1]) | (at[1:] > at[:-1] + least)
+        new = np.flatnonzero(new)
+        last = np.append(new[1:], len(doc))[: len(new)] - 1
+        return np.stack((doc[new], th[new], at[new], at[last] + least), axis=1)
 
     def run(batches):
         block, size, last = [], 0, None
         for batch in batches:
-            for row in zip(*(batch[i].to_pylist() for i in range(4)), strict=True):
-                if size > BLOCK and row[0] != last:
+            for row in zip(*(batch[i].to_pylist() for i in range(5)), strict=True):
+                if size > COMPARED and row[0] != last:
                     yield from emit(spans(block))
                     block, size = [], 0
                 block.append(row)
-                size += len(row[3])
+                size += len(row[4])
                 last = row[0]
         if block:
             yield from emit(spans(block))
 
     def emit(found):
         if len(found):
-            yield pa.RecordBatch.from_arrays([pa.array(found[:, i].copy()) for i in range(3)], ["doc", "start", "stop"])
+            yield pa.RecordBatch.from_arrays([pa.array(found[:, i].copy()) for i in range(4)], ["doc", "th", "start", "stop"])
 
-    return rows.mapInArrow(run, "doc long, start long, stop long")
+    return rows.mapInArrow(run, "doc long, th long, start long, stop long")
 
 
 def remove_repeats(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: int = 100, bucket: int = 20_000
 ) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256, kept: one row per input row."""
-    rows = docs.select(
-        docs[id_col].cast("long").alias("doc_id"), F.coalesce(docs[text_col], F.lit("")).cast("binary").alias("text")
-    ).withColumn("key", F.struct(F.sha2("text", 256).alias("h"), F.octet_length("text").alias("n")))
-    nulls_last = F.coalesce("doc_id", F.lit((1 << 63) - 1))
-    classes = rows.filter(F.col("key.n") >= least).groupBy("key").agg(F.min(nulls_last).alias("doc"))
-    firsts = written(classes, "classes")
-    reps = rows.join(firsts, "key").filter(nulls_last == F.col("doc")).select("doc", "text")
-
-    segs = _all_segments(reps.select("doc", "text"), least)
-    shared = segs.groupBy("fp").agg(F.count("*").alias("n")).filter("n > 1").select("fp")
-    found = written(segs.join(shared, "fp"), "segments")  # rows alike in id and text give equal places here, which do no harm
-    earliest = found.groupBy("fp", "sh").agg(F.min(F.struct("doc", "start", "stop")).alias("e"))
-    earliest = written(earliest, "earliest")
-    again = (
-        found.join(earliest, ["fp", "sh"])
-        .filter((F.col("doc") != F.col("e.doc")) | (F.col("start") != F.col("e.start")))
-        .select("doc", "start", "stop")
+    text = F.coalesce(docs[text_col], F.lit("")).cast("binary")
+    rows = docs.select(docs[id_col].cast("long").alias("doc_id"), text.alias("text")).withColumns(
+        {"doc": F.coalesce("doc_id", F.lit((1 << 63) - 1)), "th": F.xxhash64("text")}
+    )
+    place = ["doc", "th", "start"]
+    cut = written(_all_segments(rows.filter(F.octet_length("text") >= least), least), "cut")
+    shared = cut.groupBy("fp").agg(F.count("*").alias("n")).filter("n > 1").select("fp")
+    found = written(cut.join(shared, "fp", "left_semi"), "segments")
+    drop_written(cut)
+    groups = found.filter("first").groupBy("fp", "sh").agg(
+        F.min(F.struct(*place, "stop")).alias("e"), F.count("*").alias("n")
     )
-    unlike = earliest.groupBy("fp").agg(F.count("*").alias("n")).filter("n > 1")
-    pieces = earliest.join(unlike, "fp").select("fp", "e.doc", "e.start", "e.stop", "n")
-    with_bytes = written(
-        pieces.join(reps.select("doc", "text"), "doc").select(
-            "fp", "doc", "start",
-            F.substring("text", F.col("start").cast("int") + 1, (F.col("stop") - F.col("start")).cast("int")).alias("bytes"),
-            "n",
-        ),
-        "pieces",
+    groups = written(groups.select("fp", "sh", "e.*", "n"), "groups")
+    # All but the earliest of equal segments are repeats throughout.
+    earliest = groups.filter("n > 1").select("fp", "sh", *[F.col(c).alias(f"e_{c}") for c in place])
+    unlike_place = (F.col("doc") != F.col("e_doc")) | (F.col("th") != F.col("e_th")) | (F.col("start") != F.col("e_start"))
+    span = ["doc", "th", *[F.col(c).cast("long").alias(c) for c in ("start", "stop")]]
+    elsewhere = found.filter("first").join(earliest, ["fp", "sh"]).filter(unlike_place).select(*span)
+    again = written(elsewhere.union(found.filter("not first").select(*span)), "again")
+    drop_written(found)
+    many = groups.groupBy("fp").agg(F.count("*").alias("unlike")).filter("unlike > 1")
+    pieces = groups.drop("n").join(many, "fp").join(rows.select("doc", "th", "text"), ["doc", "th"]).select(
+        "fp", *place, F.substring("text", F.col("start") + 1, F.col("stop") - F.col("start")).alias("bytes"), "unlike"
     )
-    common = with_bytes.filter(F.col("n") <= bucket).select("fp", "doc", "start", "bytes")
+    pieces = written(pieces, "pieces")
+    drop_written(groups)
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    inside = _compared(common.repartition(parts, "fp").sortWithinPartitions("fp"), least)
+    common = pieces.filter(F.col("unlike") <= bucket).select("fp", *place, "bytes")
+    inside = written(_compared(common.repartition(parts, "fp").sortWithinPartitions("fp"), least), "inside")
     windows = (
-        with_bytes.filter(F.col("n") > bucket)
-        .select("fp", "doc", "start", "bytes", F.explode(F.sequence(F.lit(0), F.octet_length("bytes") - least)).alias("o"))
-        .select("doc", (F.col("start") + F.col("o")).alias("at"), F.sha2(F.substring("bytes", F.col("o") + 1, F.lit(least)), 256).alias("w"))
+        pieces.filter(F.col("unlike") > bucket)
+        .select("doc", "th", "start", "bytes", F.explode(F.sequence(F.lit(0), F.octet_length("bytes") - least)).alias("o"))
+        .select("doc", "th", (F.col("start") + F.col("o")).cast("long").alias("at"), F.sha2(F.substring("bytes", F.col("o") + 1, F.lit(least)), 256).alias("w"))
     )
-    heads = windows.groupBy("w").agg(F.min(F.struct("doc", "at")).alias("e"))
+    heads = windows.groupBy("w").agg(F.min(F.struct("doc", "th", "at")).alias("e"), F.count("*").alias("n")).filter("n > 1").select("w", "e")
     hot = (
-        windows.join(heads, "w").filter((F.col("doc") != F.col("e.doc")) | (F.col("at") != F.col("e.at")))
-        .select("doc", F.col("at").alias("start"), (F.col("at") + least).alias("stop"))
+        windows.join(heads, "w").filter(F.struct("doc", "th", "at") != F.col("e"))
+        .select("doc", "th", F.col("at").alias("start"), (F.col("at") + least).alias("stop"))
     )
+    hot = written(hot, "hot")
+    drop_written(pieces)
     spans = (
         again.unionByName(inside).unionByName(hot)
-        .groupBy("doc").agg(F.sort_array(F.collect_list(F.struct("start", "stop"))).alias("spans"))  # bounded by a text's length
+        .groupBy("doc", "th").agg(F.sort_array(F.collect_list(F.struct("start", "stop"))).alias("spans"))  # bounded by a text's length
     )
-
-    # A copy of an earlier text is a repeat throughout; its class's first text loses its spans only.
-    marked = rows.join(firsts, "key", "left").join(spans, "doc", "left")
-    copies = marked.withColumn("copy", F.col("doc").isNotNull() & (nulls_last != F.col("doc")))
+    marked = rows.join(spans, ["doc", "th"], "left")
 
     def run(batches):
         for batch in batches:
             counts, removed, n_spans, shas, kept = [], [], [], [], []
-            for raw, spans_of, copy in zip(batch[1], batch[2], batch[3], strict=True):
+            for raw, spans_of in zip(batch[1], batch[2], strict=True):
                 raw, spans_of = raw.as_py() or b"", spans_of.as_py() or []
-                if copy.as_py():
-                    spans_of = [{"start": 0, "stop": len(raw)}]
                 pieces_of, last, gone, runs = [], 0, 0, 0
                 reach = -1
                 for s in spans_of:
@@ -225,7 +248,7 @@ def remove_repeats(
                 ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"],
             )
 
-    return copies.select("doc_id", "text", "spans", "copy").mapInArrow(
+    return marked.select("doc_id", "text", "spans").mapInArrow(
         run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary"
     )
 

@@ -9,16 +9,20 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 _ROOTS: dict[str, str] = {}
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def shared_root(spark: SparkSession) -> str:
     """A folder of this application under ``spark.checkpoint.dir``.
 
-    Only where that setting is missing (one machine, tests) is a local folder made.
+    Where that setting is missing, local mode takes a temporary folder; a cluster, whose
+    machines would not see it, raises.
     """
     sc = spark.sparkContext
     if sc.applicationId not in _ROOTS:
         base = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
+        if not base and not sc.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         if not base:
             base = "file://" + tempfile.mkdtemp(prefix="formloom-")
         root = f"{base.rstrip('/')}/formloom-{sc.applicationId}-{uuid.uuid4().hex[:8]}"
@@ -39,22 +43,29 @@ def _remove(spark: SparkSession, root: str) -> None:
 def written(df: DataFrame, name: str) -> DataFrame:
     """``df`` as a table in the shared folder: computed once, and read again after a lost executor.
 
-    Spark deletes the shuffle files of a finished step once the driver's garbage is
-    collected, so that is asked for here; else they pile up from step to step.
+    The shuffle files of the job go when it ends, so they do not pile up from step to step.
     """
     spark = df.sparkSession
     path = f"{shared_root(spark)}/{name}-{uuid.uuid4().hex[:12]}"
-    df.write.parquet(path)
-    spark.sparkContext._jvm.System.gc()
+    before = spark.conf.get(_CLEANUP, None)
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        if before is None:
+            spark.conf.unset(_CLEANUP)
+        else:
+            spark.conf.set(_CLEANUP, before)
     return spark.read.schema(df.schema).parquet(path)
 
 
-def drop_written(df: DataFrame) -> None:
-    """Delete a table made by ``written`` that nothing reads any more."""
-    spark = df.sparkSession
-    root = shared_root(spark)
-    jvm = spark.sparkContext._jvm
-    for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-        if root.split("://")[-1] in folder:
-            path = jvm.org.apache.hadoop.fs.Path(folder)
-            path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+def drop_written(*tables: DataFrame) -> None:
+    """Delete tables made by ``written`` that nothing reads any more."""
+    for df in tables:
+        spark = df.sparkSession
+        root = shared_root(spark)
+        jvm = spark.sparkContext._jvm
+        for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+            if root.split("://")[-1] in folder:
+                path = jvm.org.apache.hadoop.fs.Path(folder)
+                path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
