@@ -11,8 +11,13 @@ from pyspark.sql import functions as F
 FLAGS = "(?iuUd)"
 
 
+#: Line ends and white space as Python's splitlines, strip and split take them.
+LINE_END = r"\r\n|[\n\r\x0b\x0c\x1c-\x1e\x85\u2028\u2029]"
+SPACE = r"[\s\x1c-\x1f]"
+
+
 def strip(v: Column) -> Column:
-    return F.regexp_replace(v, r"(?U)^\s+|\s+$", "")
+    return F.regexp_replace(v, rf"(?U)^{SPACE}+|{SPACE}+$", "")
 
 
 def is_empty(v: Column) -> Column:
@@ -33,8 +38,9 @@ def first_match(text: Column, patterns: list[str]) -> Column:
     """The first usable value among ordered patterns, each tried at its first match only."""
     tries = []
     for p in patterns:
-        value = strip(F.regexp_extract(text, FLAGS + p.replace("(?P<value>", "("), 1))
-        tries.append(F.when(usable(value), value))
+        found = F.regexp_extract(text, FLAGS + p.replace("(?P<value>", "("), 1)
+        # Bound once: a plain column would be searched for anew wherever it is referred to.
+        tries.append(let(found, lambda v: let(strip(v), lambda x: F.when(usable(x), x))))
     return F.coalesce(*tries) if len(tries) > 1 else tries[0]
 
 
@@ -59,7 +65,7 @@ def valid_date(v: Column) -> Column:
 
 
 def collapse(text: Column) -> Column:
-    return F.trim(F.regexp_replace(F.lower(text), r"(?U)\s+", " "))
+    return F.trim(F.regexp_replace(F.lower(text), rf"(?U){SPACE}+", " "))
 
 
 def content_hash(text: Column) -> Column:
@@ -69,7 +75,7 @@ def content_hash(text: Column) -> Column:
 
 def sections(text: Column) -> Column:
     """Stripped lines that are not blank."""
-    lines = F.split(F.coalesce(text, F.lit("")), "\r\n|\r|\n")
+    lines = F.split(F.coalesce(text, F.lit("")), LINE_END)
     return F.filter(F.transform(lines, strip), lambda x: x != "")
 
 
@@ -97,4 +103,18 @@ PY_FLOAT = r"(?i)^[+-]?(inf(inity)?|nan|(\d+(_\d+)*\.?(\d+(_\d+)*)?|\.\d+(_\d+)*
 
 def lines_of(text: Column) -> Column:
     """Stripped lines, blank ones kept."""
-    return F.transform(F.split(F.coalesce(text, F.lit("")), "\r\n|\r|\n"), strip)
+    return F.transform(F.split(F.coalesce(text, F.lit("")), LINE_END), strip)
+
+
+def py_float(v: Column) -> Column:
+    """A number as Python writes a float: no exponent from 0.0001 up to 10**16."""
+    text = v.cast("double").cast("string")
+    plain = F.regexp_replace(text.try_cast("decimal(38,18)").cast("string"), "0+$", "")
+    plain = F.when(plain.endswith("."), F.concat(plain, F.lit("0"))).otherwise(plain)
+    return F.when(F.contains(text, F.lit("E")) & F.abs(v).between(1e-4, 9.999999999999998e15), plain).otherwise(text)
+
+
+def to_number(v: Column) -> Column:
+    """The number that a text means without commas and dollar signs, as Python's float reads it; null if it is none."""
+    bare = strip(F.regexp_replace(strip(v), "[,$]", ""))
+    return F.when(bare.rlike(PY_FLOAT), F.replace(bare, F.lit("_"), F.lit("")).try_cast("double"))

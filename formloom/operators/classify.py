@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.text import let
+
 #: Keywords of each type, types in the order that wins ties.
 KEYWORDS = {
     "invoice": ["invoice number", "invoice no", "invoice #", "bill to", "vendor", "subtotal", "total amount", "payment terms", "amount due", "purchase order"],
@@ -17,31 +19,35 @@ KEYWORDS = {
 }
 
 
-def type_scores(text: Column) -> dict[str, Column]:
-    low = F.lower(F.coalesce(text, F.lit("")))
-    return {
-        kind: reduce(lambda a, b: a + b, [F.contains(low, F.lit(w)).cast("int") for w in words])
-        for kind, words in KEYWORDS.items()
-    }
+def document_type(text: Column) -> Column:
+    """The type of most distinct keywords, the first among equals; invoice without any."""
+
+    def count(low: Column, words: list[str]) -> Column:
+        return reduce(lambda a, b: a + b, [F.contains(low, F.lit(w)).cast("int") for w in words])
+
+    def choose(scores: Column) -> Column:
+        best = F.array_max(scores)
+        names = F.array(*[F.lit(kind) for kind in KEYWORDS])
+        return F.when(best > 0, F.element_at(names, F.array_position(scores, best).cast("int"))).otherwise("invoice")
+
+    lowered = F.lower(F.coalesce(text, F.lit("")))
+    return let(lowered, lambda low: let(F.array(*[count(low, words) for words in KEYWORDS.values()]), choose))
 
 
 def with_document_type(docs: DataFrame, text_col: str = "text", out: str = "document_type") -> DataFrame:
-    """Adds the type of most distinct keywords, the first among equals; invoice without any."""
-    names = {kind: f"__score_{kind}" for kind in KEYWORDS}
-    scored = docs.withColumns({names[k]: c for k, c in type_scores(docs[text_col]).items()})
-    best = F.greatest(*names.values())
-    choice = F.lit("invoice")
-    for kind in reversed(KEYWORDS):
-        choice = F.when((F.col(names[kind]) == best) & (best > 0), kind).otherwise(choice)
-    return scored.withColumn(out, choice).drop(*names.values())
+    return docs.withColumn(out, document_type(docs[text_col]))
+
+
+#: Phrases of traces that tell the mode.
+USED_MODEL = ("used the llm reasoning layer",)
+USED_TEMPLATE = ("applied learned template anchors", "used learned template anchors", "matched learned template")
+USED_RULES = ("fell back to rule-based", "rule-based label and regex")
 
 
 def effective_mode(requested: Column, trace: Column) -> Column:
-    """The mode a trace shows: language model before template before rule."""
-    low = F.lower(F.array_join(trace, " "))
+    """The mode a trace shows, a model before a template before rules; the requested one if it shows none."""
+    has = lambda low, phrases: reduce(lambda a, b: a | b, [F.contains(low, F.lit(p)) for p in phrases])
+    low = F.lower(F.array_join(F.coalesce(trace, F.array().cast("array<string>")), " "))
     return (
-        F.when(F.contains(low, F.lit("llm")), "llm-assisted")
-        .when(F.contains(low, F.lit("template")), "template-only")
-        .when(F.contains(low, F.lit("rule")), "rule-based")
-        .otherwise(requested)
+        F.when(has(low, USED_MODEL), "llm-assisted").when(has(low, USED_TEMPLATE), "template").when(has(low, USED_RULES), "rule-based").otherwise(requested)
     )

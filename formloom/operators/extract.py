@@ -112,9 +112,10 @@ def unlabelled_vendor(text: Column) -> Column:
 
 
 def extract_invoices(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """Invoice fields, money as numbers beside their raw text, and line items."""
+    """Invoice fields, money as numbers beside their raw text, and line items; the currency is USD unless told."""
     rows = extract_fields(docs, "invoice", text_col)
-    rows = rows.withColumn("vendor_name", F.coalesce("vendor_name", unlabelled_vendor(F.col(text_col))))
+    found = {"vendor_name": F.coalesce("vendor_name", unlabelled_vendor(F.col(text_col))), "currency": F.coalesce("currency", F.lit("USD"))}
+    rows = rows.withColumns(found)
     rows = rows.withColumns({f"{f}_raw": F.col(f) for f in MONEY_FIELDS}).withColumns({f: money(F.col(f)) for f in MONEY_FIELDS})
     return rows.withColumn("line_items", line_items(F.col(text_col)))
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from ..functions.text import money, strip
+from ..functions.text import PY_FLOAT, to_number
 
 #: Confidence by source for the worst check pass, warn, fail.
 CONFIDENCE = {
@@ -20,11 +20,20 @@ CONFIDENCE = {
 }
 
 
-def field_confidence(source: Column, worst: Column, empty: Column) -> Column:
-    out = F.lit(CONFIDENCE["Document"][0])
-    for name, values in CONFIDENCE.items():
-        by_status = F.when(worst == "fail", values[2]).when(worst == "warn", values[1]).otherwise(values[0])
-        out = F.when(source == name, by_status).otherwise(out)
+#: The row that a document's baseline stands for.
+_BASELINES = {0.88: "LLM", 0.82: "Template", 0.78: "Spatial", 0.72: "Rule-based"}
+
+
+def field_confidence(source: Column, worst: Column, empty: Column, baseline: Column | None = None) -> Column:
+    """Confidence by a field's source and the worst of its checks; ``baseline`` (0.75 if not given) serves where the source is null or unknown."""
+    of = lambda name: F.when(worst == "fail", CONFIDENCE[name][2]).when(worst == "warn", CONFIDENCE[name][1]).otherwise(CONFIDENCE[name][0])
+    out = of("Document")
+    if baseline is not None:
+        for value, name in _BASELINES.items():
+            out = F.when(baseline == value, of(name)).otherwise(out)
+    for name in CONFIDENCE:
+        if name != "Document":
+            out = F.when(source == name, of(name)).otherwise(out)
     return F.when(empty, 0.0).otherwise(out)
 
 
@@ -36,11 +45,22 @@ def badge(score: Column) -> Column:
     return F.when(score >= 0.85, "green").when(score >= 0.60, "orange").when(score > 0, "red").otherwise("not extracted")
 
 
-def equivalent(a: Column, b: Column) -> Column:
-    """Whether two field values mean the same: both empty, equal numbers, or equal trimmed texts."""
-    sa, sb = F.coalesce(strip(a), F.lit("")), F.coalesce(strip(b), F.lit(""))
-    na, nb = money(sa), money(sb)
-    return F.when((sa == "") | (sb == ""), sa == sb).when(na.isNotNull() & nb.isNotNull(), na == nb).otherwise(sa == sb)
+def equivalent(a: Column, b: Column, a_number: Column | None = None, b_number: Column | None = None) -> Column:
+    """Whether two field values mean the same; each is a text, or a number in the second column of its side.
+
+    Null and empty texts are empty and equal.  Two texts or two numbers are compared as they
+    are; a number and a text by the number that the text means without commas and dollar signs.
+    """
+    an, bn = (F.lit(None).cast("double") if x is None else x.cast("double") for x in (a_number, b_number))
+    empty = lambda t, n: n.isNull() & (F.coalesce(t, F.lit("")) == "")
+    mixed = lambda t, n: F.coalesce(to_number(t) == n, F.lit(False))
+    return (
+        F.when(empty(a, an) | empty(b, bn), empty(a, an) & empty(b, bn))
+        .when(an.isNotNull() & bn.isNotNull(), an == bn)
+        .when(an.isNotNull(), mixed(b, an))
+        .when(bn.isNotNull(), mixed(a, bn))
+        .otherwise(a == b)
+    )
 
 
 def auto_approved(errors: Column, n_fail: Column, confidences: Column, gate: bool, threshold: float) -> Column:
@@ -49,8 +69,8 @@ def auto_approved(errors: Column, n_fail: Column, confidences: Column, gate: boo
     return (F.size(errors) == 0) & (n_fail == 0) & passes
 
 
-def retry_after(message: Column, cap: int = 60) -> Column:
-    """Seconds to wait that an error message asks for, null if it is no rate limit."""
+def retry_after(message: Column, cap: int = 60, header: Column | None = None) -> Column:
+    """Seconds to wait that an error asks for, by its ``retry-after`` header if it has a number there, else by its message; null if it is no rate limit."""
     both = r"(?iuU)try again in (\d+)m(\d+(?:\.\d+)?)\s*s"
     seconds = r"(?iuU)try again in (\d+(?:\.\d+)?)\s*s"
     plain = r"(?iuUd)retry.{0,15}?(\d+)\s*second"
@@ -58,8 +78,10 @@ def retry_after(message: Column, cap: int = 60) -> Column:
     bounded = lambda x: F.least(F.lit(cap), F.greatest(F.lit(1), x)).cast("int")
     low = F.lower(message)
     limited = F.contains(low, F.lit("429")) | F.contains(low, F.lit("rate limit")) | F.contains(low, F.lit("resource_exhausted"))
+    asked = F.lit(None).cast("double") if header is None else F.when(header.rlike(PY_FLOAT), header.try_cast("double"))
     return (
-        F.when(message.rlike(both), bounded(number(both, 1) * 60 + number(both, 2) + 1))
+        F.when(asked.isNotNull(), F.least(F.lit(cap), F.greatest(F.lit(1), F.floor(asked))).cast("int"))
+        .when(message.rlike(both), bounded(number(both, 1) * 60 + number(both, 2) + 1))
         .when(message.rlike(seconds), bounded(number(seconds, 1) + 1))
         .when(message.rlike(plain), F.least(F.lit(cap), number(plain, 1)).cast("int"))
         .when(limited, F.lit(15))

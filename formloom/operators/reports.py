@@ -38,10 +38,10 @@ def clinical_interpretation(text: Column) -> Column:
 
 
 def lab_panels(text: Column) -> Column:
-    """Array of test, value and units: a line, then a number, then its units."""
+    """Array of test, value, units, reference_range and flag (both empty): a line, then a number, then its units."""
 
     def panels(ls):
-        rows = F.transform(ls, lambda x, i: F.struct(x.alias("test"), F.get(ls, i + 1).alias("value"), F.coalesce(F.get(ls, i + 2), F.lit("")).alias("units")))
+        rows = F.transform(ls, lambda x, i: F.struct(x.alias("test"), F.get(ls, i + 1).alias("value"), F.coalesce(F.get(ls, i + 2), F.lit("")).alias("units"), F.lit("").alias("reference_range"), F.lit("").alias("flag")))
         skipped = lambda r: F.lower(r["test"]).isin(*LAB_SKIP) | ((r["test"] == F.upper(r["test"])) & (F.length(r["test"]) > 4))
         number = lambda r: F.coalesce(F.replace(r["value"], F.lit(","), F.lit("")).rlike(PY_FLOAT), F.lit(False))
         return _walk(rows, lambda r: ~skipped(r) & number(r), lambda r: r, lambda r: F.lit(3))

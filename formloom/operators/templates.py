@@ -2,16 +2,18 @@
 
 from __future__ import annotations
 
+import re
 from difflib import SequenceMatcher
 from math import sqrt
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import FLAGS, let, sections, strip
 
 CAP = 20  # templates of each type, which bounds the store
+AFTER = 1 << 40  # added to the order of templates that follow a store's own
 
 
 def cosine(a: Column, b: Column) -> Column:
@@ -23,10 +25,14 @@ def cosine(a: Column, b: Column) -> Column:
     return F.coalesce(F.when(fits, F.round(dot / (norm(a) * norm(b)), 4)), F.lit(0.0))
 
 
+def java_pattern(pattern: Column) -> Column:
+    """A stored pattern as Java takes it: named groups and the end of the text are written otherwise."""
+    return F.concat(F.lit(FLAGS), F.replace(F.replace(pattern, F.lit("(?P<"), F.lit("(?<")), F.lit(r"\Z"), F.lit(r"\z")))
+
+
 def anchor_share(anchors: Column, text: Column) -> Column:
     """Share of a template's anchors, a map of field to pattern, that the text matches, 4 digits; 0 without anchors."""
-    java = lambda p: F.concat(F.lit(FLAGS), F.replace(p, F.lit("(?P<"), F.lit("(?<")))
-    hit = lambda p: (p != "") & F.regexp_like(text, java(p))
+    hit = lambda p: (p != "") & F.regexp_like(text, java_pattern(p))
     share = F.size(F.filter(F.map_values(anchors), hit)) / F.size(anchors)
     return F.coalesce(F.when(F.size(anchors) > 0, F.round(share, 4)), F.lit(0.0))
 
@@ -51,70 +57,70 @@ def best_template(docs: DataFrame, templates: DataFrame, id_col: str = "doc") ->
     )
 
 
-def learn_capped(templates: DataFrame, cap: int = CAP, merge: float = 0.85) -> DataFrame:
-    """document_type, slot, ord: the store after learning ``templates(document_type, ord, vector)`` one by one, by ord.
+def similarity(a, b) -> float:
+    """``cosine`` of two vectors in Python."""
+    a, b = ([] if v is None else [float(x) for x in v] for v in (a, b))
+    size = sqrt(sum(x * x for x in a)) * sqrt(sum(x * x for x in b))
+    return round(sum(x * y for x, y in zip(a, b, strict=True)) / size, 4) if a and len(a) == len(b) and size > 0 else 0.0
 
-    A template at least ``merge`` similar to the first most similar one of its type takes
-    that one's slot.  Else it gets a slot of its own or, once its type has ``cap``, takes
-    that of the first most similar.  What each does hangs on all before it, so a type is
-    read in order by one task, which holds no more than ``cap`` vectors at a time.
-    """
 
-    def run(batches):
-        kind, store = None, []  # of each slot: ord, vector, norm
-
-        def rows():
-            return {"document_type": [kind] * len(store), "slot": list(range(len(store))), "ord": [x[0] for x in store]}
-
-        for batch in batches:
-            for this, number, vector in zip(batch["document_type"], batch["ord"], batch["vector"], strict=True):
-                if store and this != kind:
-                    yield pd.DataFrame(rows())
-                    store = []
-                kind = this
-                vector = [] if vector is None else [float(x) for x in vector]
-                norm = sqrt(sum(x * x for x in vector))
-                scores = [
-                    round(sum(x * y for x, y in zip(vector, v, strict=True)) / (norm * size), 4)
-                    if vector and len(v) == len(vector) and norm > 0 and size > 0 else 0.0
-                    for _, v, size in store
-                ]
-                best = scores.index(max(scores)) if scores else None
-                if best is not None and (scores[best] >= merge or len(store) >= cap):
-                    store[best] = (number, vector, norm)
-                else:
-                    store.append((number, vector, norm))
-        if store:
-            yield pd.DataFrame(rows())
-
-    kinds = {c: templates.schema[c].dataType.simpleString() for c in ("document_type", "ord")}
-    ordered = templates.select("document_type", "ord", "vector").repartition("document_type").sortWithinPartitions("document_type", "ord")
-    return ordered.mapInPandas(run, f"document_type {kinds['document_type']}, slot int, ord {kinds['ord']}")
-
-
-def keep_newest(templates: DataFrame, cap: int = CAP) -> DataFrame:
-    """The ``cap`` latest templates of each type."""
-    w = Window.partitionBy("document_type").orderBy(F.desc("ord"))
-    return templates.withColumn("__r", F.row_number().over(w)).filter(F.col("__r") <= cap).drop("__r")
+def promote(source: DataFrame, target: DataFrame, key: str = "template_name") -> DataFrame:
+    """Two stores by name: the target's order is kept, a source's template of a name takes the target's place, new ones follow.
+
+    Stores may have ``ord``, their order; a template without a name is called ``template-`` and its place.
+    """
 
+    def named(df: DataFrame) -> DataFrame:
+        if "ord" not in df.columns:
+            return df
+        return df.withColumn(key, F.coalesce(F.when(F.col(key) != "", F.col(key)), F.concat(F.lit("template-"), F.col("ord").cast("string"))))
 
-def promote(source: DataFrame, target: DataFrame, key: str = "template_name") -> DataFrame:
-    """Two stores by name: the source's values win, what only the target has stays."""
-    return source.unionByName(target.join(source.select(key).distinct(), key, "left_anti"), allowMissingColumns=True)
+    source, target = named(source), named(target)
+    if "ord" not in source.columns or "ord" not in target.columns:
+        return source.unionByName(target.join(source.select(key).distinct(), key, "left_anti"), allowMissingColumns=True)
+    places = target.select(F.col(key), F.col("ord").cast("long").alias("__old"))
+    moved = source.join(places, key, "left").withColumn("ord", F.coalesce("__old", F.col("ord") + AFTER)).drop("__old")
+    return moved.unionByName(target.join(source.select(key).distinct(), key, "left_anti"), allowMissingColumns=True)
 
 
 def bad_pattern(value: Column) -> Column:
-    """Pattern of a rejected value: runs of one character, or just that value."""
-    v = F.trim(value)
+    """Pattern of a rejected value: runs of its one character, or just that value, with white space around; null for a blank one."""
+    v = strip(value)
     escape = lambda x: F.regexp_replace(x, r"([^A-Za-z0-9_])", r"\\$1")
-    run = F.concat(F.lit(r"^\s*"), escape(F.substring(v, 1, 1)), F.lit(r"+\s*$"))
-    return F.when(v != "", F.when(v.rlike(r"^(.)\1*$"), run).otherwise(F.concat(F.lit("^"), escape(v), F.lit("$"))))
+    body = F.when(v.rlike(r"(?s)^(.)\1*\z"), F.concat(escape(F.substring(v, 1, 1)), F.lit("+"))).otherwise(escape(v))
+    return F.when(v != "", F.concat(F.lit(r"^\s*"), body, F.lit(r"\s*$")))
+
+
+#: Fields that no pattern clears.
+NEVER_CLEARED = ("document_type", "source_file")
+
+
+def valid_patterns(patterns: DataFrame) -> DataFrame:
+    """The patterns that compile; others are ignored, as one that does not would stop the job."""
+
+    @F.pandas_udf("boolean")
+    def compiles(column: pd.Series) -> pd.Series:
+        def one(p) -> bool:
+            try:
+                re.compile(p)
+                return True
+            except (re.error, TypeError):
+                return False
+
+        return column.map(one)
+
+    return patterns.filter(compiles("pattern"))
 
 
 def clear_bad_values(long_fields: DataFrame, patterns: DataFrame) -> DataFrame:
-    """Nulls values of (document_type, field) that any of its patterns matches; adds ``cleared``."""
-    lists = patterns.groupBy("document_type", "field").agg(F.collect_set("pattern").alias("__p"))
-    hit = F.coalesce(F.exists("__p", lambda p: F.regexp_like("value", F.concat(F.lit("(?iuUd)"), p))), F.lit(False))
+    """Nulls values of (document_type, field) that any of its patterns matches; adds ``cleared``.
+
+    Values are searched without the white space around them; empty ones, and the fields of
+    ``NEVER_CLEARED``, stay.  The patterns of a field come from reviews and are few.
+    """
+    lists = valid_patterns(patterns).groupBy("document_type", "field").agg(F.collect_set("pattern").alias("__p"))
+    asked = ~F.col("field").isin(*NEVER_CLEARED) & (F.coalesce(F.col("value"), F.lit("")) != "")
+    hit = asked & F.coalesce(F.exists("__p", lambda p: F.regexp_like(strip(F.col("value")), F.concat(F.lit(FLAGS), p))), F.lit(False))
     return (
         long_fields.join(lists, ["document_type", "field"], "left")
         .withColumn("cleared", hit).withColumn("value", F.when(~F.col("cleared"), F.col("value"))).drop("__p")
@@ -130,8 +136,7 @@ def anchor_values(anchors: Column, text: Column) -> Column:
 
     def value(_, pattern):
         grouped = F.contains(pattern, F.lit("(?P<value>"))
-        java = F.concat(F.lit(FLAGS), F.replace(pattern, F.lit("(?P<value>"), F.lit("(?<value>")))
-        found = strip(F.call_function("regexp_extract", text, java, F.when(grouped, 1).otherwise(0)))
+        found = strip(F.call_function("regexp_extract", text, java_pattern(pattern), F.when(grouped, 1).otherwise(0)))
         return F.when(found != "", found)
 
     return F.transform_values(anchors, value)
@@ -149,21 +154,25 @@ def text_signature(text: Column) -> Column:
     return let(sections(text), sign)
 
 
+def signature_score(a, b) -> float:
+    """0.7 of the matching-blocks ratio of the lines and 0.3 of the Jaccard similarity of the words; a null signature has neither."""
+    (top, words), (other_top, other_words) = ((" | ".join(s["top_lines"]), set(s["keywords"])) if s else ("", set()) for s in (a, b))
+    shared = len(words & other_words) / len(words | other_words) if words | other_words else 1.0
+    return round(SequenceMatcher(None, top, other_top).ratio() * 0.7 + shared * 0.3, 4)
+
+
 def score_signatures(pairs: DataFrame, left: str, right: str, out: str = "score") -> DataFrame:
-    """Adds 0.7 of the matching-blocks ratio of the lines and 0.3 of the Jaccard similarity of the words of two signatures.
+    """Adds ``signature_score`` of two signature columns; each distinct pair of signatures is scored once.
 
-    A null signature has no lines and no words.  Matching blocks of two strings have no
-    Catalyst form; the strings are eight lines long.
+    Matching blocks of two strings have no Catalyst form; the strings are eight lines long.
     """
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in pairs.schema.fields)
-
-    def score(a, b) -> float:
-        (top, words), (other_top, other_words) = ((" | ".join(s["top_lines"]), set(s["keywords"])) if s else ("", set()) for s in (a, b))
-        shared = len(words & other_words) / len(words | other_words) if words | other_words else 1.0
-        return round(SequenceMatcher(None, top, other_top).ratio() * 0.7 + shared * 0.3, 4)
+    keyed = pairs.withColumn("__pair", F.sha2(F.to_json(F.struct(left, right), {"ignoreNullFields": "false"}), 256))
+    distinct = keyed.groupBy("__pair").agg(F.first(left).alias("a"), F.first(right).alias("b"))
 
-    def run(batches):
-        for batch in batches:
-            yield batch.assign(**{out: [score(a, b) for a, b in zip(batch[left], batch[right], strict=True)]})
+    @F.pandas_udf("double")
+    def score(a: pd.DataFrame, b: pd.DataFrame) -> pd.Series:
+        rows = lambda d: [None if x["top_lines"] is None else x for x in d.to_dict("records")]
+        return pd.Series([signature_score(x, y) for x, y in zip(rows(a), rows(b), strict=True)], dtype="float64")
 
-    return pairs.mapInPandas(run, f"{fields}, `{out}` double")
+    scored = distinct.select("__pair", score("a", "b").alias(out))
+    return keyed.join(scored, "__pair").drop("__pair")

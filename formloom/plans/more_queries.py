@@ -60,17 +60,10 @@ def _memos(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _orders(spark, sf_dir).select("o_orderkey", text.alias("text"))
 
 
-@_query("""select o_orderkey, 'Strategic Briefing' as subtype, 'Year ' || o_orderkey || ' was good.' as summary,
-2::integer as n_kpis, 'Revenue:' || (o_orderkey % 50) || '.5' as first_kpi, 'Margin:+3 pts' as second_kpi,
-'Expand the sales team of region ' || (o_orderkey % 9) || ' now' as first_recommendation from orders where o_orderkey % 7 <> 0""")
-def business_report(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _business(_memos(spark, sf_dir).filter("o_orderkey % 7 <> 0"))
-
-
 @_query("""select o_orderkey, 'Strategic Briefing' as subtype, 'Year ' || o_orderkey || ' was good.' as summary,
 2::integer as n_kpis, 'Revenue:' || (o_orderkey % 50) || '.5' as first_kpi, 'Margin:+3 pts' as second_kpi,
 'Expand the sales team of region ' || (o_orderkey % 9) || ' now' || case when o_orderkey % 7 = 0 then '.' else '' end as first_recommendation from orders""")
-def business_report_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+def business_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every order, those without the recommendations' header too."""
     return _business(_memos(spark, sf_dir))
 
@@ -187,7 +180,7 @@ def template_anchors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("o_orderkey", F.col("v")["number"].alias("number"), F.col("v")["whole"].alias("whole"))
 
 
-_LINES = r"list_filter(list_transform(string_split_regex(coalesce(text, ''), '\r\n|\r|\n'), lambda x: regexp_replace(x, '^\s+|\s+$', '', 'g')), lambda x: x <> '')"
+_LINES = r"list_filter(list_transform(string_split_regex(coalesce(text, ''), '\r\n|[\n\r\x0b\x0c\x1c-\x1e\x{85}\x{2028}\x{2029}]'), lambda x: regexp_replace(x, '^\s+|\s+$', '', 'g')), lambda x: x <> '')"
 
 
 @_query(rf"""with l as (select doc_id, {_LINES} as ls from documents)

@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import first_match, sections, upload_name
-from ..operators import classify, dedup, extract, metrics, quality_scores, spatial, templates, validate
+from ..functions.text import content_hash, first_match, sections, upload_name
+from ..operators import catalog, classify, dedup, dispatch, extract, metrics, quality_scores, spatial, templates, validate
 from .render import discharges, invoices, ndas, table
 
 QUERIES = {}
@@ -28,7 +28,7 @@ _HASH = r"sha256(trim(regexp_replace(lower(coalesce(text, '')), '\s+', ' ', 'g')
 
 @_query(f"select doc_id, {_HASH} as content_hash, doc_id <> min(doc_id) over (partition by {_HASH}) as is_duplicate from documents")
 def content_hash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return dedup.first_of_each_hash(table(spark, sf_dir, "documents"), "doc_id").select("doc_id", "content_hash", "is_duplicate")
+    return dedup.first_of_each_hash(table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id").select("doc_id", "content_hash", "is_duplicate")
 
 
 def _type_sql(source: str) -> str:
@@ -47,13 +47,12 @@ def detect_doc_type(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @_query(f"select document_type, count(*) as n_docs, count(distinct {_HASH}) as n_distinct from ({_type_sql('documents')}) group by 1")
 def doc_type_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    typed = dedup.first_of_each_hash(classify.with_document_type(table(spark, sf_dir, "documents")), "doc_id")
-    return typed.groupBy("document_type").agg(F.count("*").alias("n_docs"), F.sum((~F.col("is_duplicate")).cast("long")).alias("n_firsts")).join(
-        typed.select("document_type", "content_hash").distinct().groupBy("document_type").agg(F.count("*").alias("n_distinct")), "document_type"
-    ).select("document_type", "n_docs", "n_distinct")
+    typed = table(spark, sf_dir, "documents").select(classify.document_type(F.col("text")).alias("document_type"), content_hash(F.col("text")).alias("h"))
+    per_text = typed.groupBy("document_type", "h").agg(F.count("*").alias("n"))
+    return per_text.groupBy("document_type").agg(F.sum("n").alias("n_docs"), F.count("*").alias("n_distinct"))
 
 
-@_query(r"""with s as (select doc_id, list_filter(list_transform(string_split_regex(coalesce(text, ''), '\r\n|\r|\n'), lambda x: regexp_replace(x, '^\s+|\s+$', '', 'g')), lambda x: x <> '') as ls from documents)
+@_query(r"""with s as (select doc_id, list_filter(list_transform(string_split_regex(coalesce(text, ''), '\r\n|[\n\r\x0b\x0c\x1c-\x1e\x{85}\x{2028}\x{2029}]'), lambda x: regexp_replace(x, '^\s+|\s+$', '', 'g')), lambda x: x <> '') as ls from documents)
 select doc_id, cast(len(ls) as integer) as section_count, ls[1] as first_section from s""")
 def parse_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "documents").select("doc_id", sections(F.col("text")).alias("s"))
@@ -105,28 +104,50 @@ def validate_invoice(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("o_orderkey", *[c.alias(f"n_{s}") for s, c in count.items()], review.alias("needs_review"))
 
 
-@_query(_INV + """, f as (select 'invoice_number' as field_name, invoice_number is null as e from v union all select 'vendor_name', false from v union all select 'due_date', true from v)
-select 'invoice' as document_type, field_name, count(*) as n, cast(sum(e::int) as bigint) as n_null, cast(round(sum(e::int) * 100.0 / count(*), 1) as double) as null_rate from f group by 2""")
+_STATS = _INV + """, f as (select o_orderkey, 'invoice_number' as field_name, invoice_number is null as e from v union all select o_orderkey, 'vendor_name', false from v union all select o_orderkey, 'due_date', true from v
+union all select o_orderkey, unnest(['po_number', 'shipping_handling']), true from v union all select o_orderkey, unnest(['bill_to', 'payment_terms', 'subtotal', 'tax', 'total_amount', 'currency', 'line_items', 'invoice_date']), false from v),
+g as (select *, case when e then null when (o_orderkey + length(field_name)) % 3 = 0 then 'Template' when o_orderkey % 4 = 0 then 'Inferred' else 'Rule-based' end as src,
+case when e then null when (o_orderkey + length(field_name)) % 3 = 0 then 0.82 when o_orderkey % 4 = 0 then 0.488 else 0.72 end::double as conf from f)
+"""
+
+
+@_query(_STATS + "select 'invoice' as document_type, field_name, count(*) as n, cast(sum(e::int) as bigint) as n_null, cast(round(sum(e::int) * 100.0 / count(*), 1) as double) as null_rate from g group by 2")
 def null_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return metrics.null_rates(_stats(spark, sf_dir))
 
 
 def _stats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = extract.extract_invoices(invoices(spark, sf_dir)).withColumn("source_file", F.col("o_orderkey").cast("string"))
-    return metrics.field_stats(rows, "invoice", ["invoice_number", "vendor_name", "due_date"], "Rule-based", 0.72)
+    """Statistics of the catalogued fields of rendered invoices, with three sources."""
+    rows = extract.extract_invoices(invoices(spark, sf_dir))
+    long = dispatch.long_fields(rows, "invoice", "o_orderkey")
+    key = F.col("o_orderkey")
+    template, inferred = (key + F.length("field")) % 3 == 0, key % 4 == 0
+    values = long.select(
+        key.cast("string").alias("source_file"), "document_type", "field", "value", F.when(template, "Template").when(inferred, "Inferred").otherwise("Rule-based").alias("source"),
+        F.when(template, 0.82).when(inferred, 0.488).otherwise(0.72).alias("confidence"),
+    )
+    return metrics.field_stats_long(values, catalog.FIELDS)
 
 
-@_query(_INV + """select 'invoice' as document_type, field_name, 'Rule-based' as top_source, 'Rule-based (' || n || ')' as breakdown from
-(select 'vendor_name' as field_name, count(*) as n from v union all select 'invoice_number', count(invoice_number) from v)""")
+@_query(_STATS + """, c as (select field_name, src, count(*) as n from g where src is not null group by 1, 2)
+select 'invoice' as document_type, field_name, arg_max(src, struct_pack(n := n, o := -ascii(src))) as top_source, string_agg(src || ' (' || n || ')', ', ' order by n desc, src) as breakdown from c group by 2""")
 def source_breakdown(spark: SparkSession, sf_dir: str) -> DataFrame:
     return metrics.source_breakdown(_stats(spark, sf_dir))
 
 
-@_query("select 'invoice' as document_type, unnest(['invoice_number', 'vendor_name']) as field_name, 0.72::double as avg_conf, 0.72::double as min_conf, 0.72::double as max_conf")
+@_query(_STATS + "select 'invoice' as document_type, field_name, round(avg(conf), 3) as avg_conf, min(conf) as min_conf, max(conf) as max_conf from g where conf is not null group by 2")
 def confidence_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return metrics.confidence_stats(_stats(spark, sf_dir))
 
 
+@_query(_STATS + """, names as (select unnest(['vendor_name', 'invoice_number', 'invoice_date', 'due_date', 'bill_to', 'po_number', 'payment_terms', 'subtotal', 'tax', 'shipping_handling', 'total_amount', 'currency', 'line_items']) as field_name, unnest(range(13)) as ord),
+c as (select field_name, src, count(*) as n from g where src is not null group by 1, 2), m as (select field_name, string_agg(src || ' (' || n || ')', ', ' order by n desc, src) as method from c group by 1)
+select cast(ord as integer) as ord, names.field_name, cast(round(sum(e::int) * 100.0 / count(*), 1) as double) as null_rate, coalesce(any_value(method), '—') as method, round(avg(conf), 3) as avg_conf
+from names join g using (field_name) left join m using (field_name) group by 1, 2""")
+def field_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return metrics.field_table(_stats(spark, sf_dir), "invoice", catalog.FIELDS["invoice"])
+
+
 @_query("""select c_custkey, c_name as disclosing_party, case when c_custkey % 5 <> 0 then 'Partner ' || c_custkey end as receiving_party, n_name as governing_law,
 (c_custkey % 9 + 1) || ' years' as confidentiality_period, case c_custkey % 3 when 0 then 'mutual' when 1 then 'one-way' end as agreement_type from customer join nation on c_nationkey = n_nationkey""")
 def nda_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -186,59 +207,29 @@ def error_log_latest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return errors.orderBy(F.desc("ts"), F.desc("event_id")).limit(200).select("event_id", F.col("ts").alias("logged_at"), "props")
 
 
-@_query("""with r as (select *, row_number() over (partition by label order by vec_id) as r from embeddings), t as (select label, vec_id, embedding from r where r <= 20),
-c as (select t.vec_id, t.label, list_transform(range(1, 65), lambda i: case when i > 64 - 8 * (t.vec_id % 8) then 0.0 else t.embedding[i]::double end) as v from t),
-s as (select c.vec_id, c.label, t.vec_id as ord, round(coalesce(list_dot_product(c.v, t.embedding::double[]) / nullif(sqrt(list_dot_product(c.v, c.v)) * sqrt(list_dot_product(t.embedding::double[], t.embedding::double[])), 0), 0), 4) as score from c join t using (label))
-select vec_id, ord, score >= 0.55 as adaptive_hit, score >= 0.68 as llm_hit, score >= 0.85 as merge_hit from (select *, row_number() over (partition by vec_id order by score desc, ord) as k from s) where k = 1""")
-def template_match(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = table(spark, sf_dir, "embeddings").select(F.col("label").alias("document_type"), F.col("vec_id").alias("ord"), F.col("embedding").alias("vector"))
-    store = templates.keep_newest(rows.withColumn("ord", -F.col("ord"))).withColumn("ord", -F.col("ord"))
-    docs = store.select("document_type", F.col("ord").alias("vec_id"), F.transform("vector", lambda x, i: F.when(i >= 64 - 8 * (F.col("ord") % 8), 0.0).otherwise(x.cast("double"))).alias("vector"))
-    best = templates.best_template(docs, store, "vec_id")
-    return best.select("vec_id", "ord", *[(F.col("score") >= c).alias(n) for c, n in ((0.55, "adaptive_hit"), (0.68, "llm_hit"), (0.85, "merge_hit"))])
-
-
 @_query("""with r as (select *, row_number() over (partition by label order by vec_id) as r from embeddings), t as (select label, vec_id, embedding from r where r <= 20),
 c as (select vec_id, label, list_transform(range(1, 65), lambda i: case when i > 64 - 8 * (vec_id % 8) then 0.0 else embedding[i]::double end) as v from embeddings),
 s as (select c.vec_id, c.label, t.vec_id as ord, round(coalesce(list_dot_product(c.v, t.embedding::double[]) / nullif(sqrt(list_dot_product(c.v, c.v)) * sqrt(list_dot_product(t.embedding::double[], t.embedding::double[])), 0), 0), 4) as score from c join t using (label))
 select vec_id, ord, score >= 0.55 as adaptive_hit, score >= 0.68 as llm_hit, score >= 0.85 as merge_hit from (select *, row_number() over (partition by vec_id order by score desc, ord) as k from s) where k = 1""")
-def template_match_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every row of embeddings against the store, which alone has the cap."""
+def template_match(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every row of embeddings against a full store: the first ``CAP`` rows of each label."""
     rows = table(spark, sf_dir, "embeddings").select(F.col("label").alias("document_type"), F.col("vec_id").alias("ord"), F.col("embedding").alias("vector"))
-    store = templates.keep_newest(rows.withColumn("ord", -F.col("ord"))).withColumn("ord", -F.col("ord"))
+    place = F.row_number().over(Window.partitionBy("document_type").orderBy("ord"))
+    store = rows.withColumn("place", place).filter(F.col("place") <= templates.CAP).drop("place")
     docs = rows.select("document_type", F.col("ord").alias("vec_id"), F.transform("vector", lambda x, i: F.when(i >= 64 - 8 * (F.col("ord") % 8), 0.0).otherwise(x.cast("double"))).alias("vector"))
     best = templates.best_template(docs, store, "vec_id")
     return best.select("vec_id", "ord", *[(F.col("score") >= c).alias(n) for c, n in ((0.55, "adaptive_hit"), (0.68, "llm_hit"), (0.85, "merge_hit"))])
 
 
-@_query("select label, vec_id from (select *, row_number() over (partition by label order by vec_id desc) as r from embeddings) where r <= 20")
-def template_cap_eviction(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = table(spark, sf_dir, "embeddings").select(F.col("label").alias("document_type"), F.col("vec_id").alias("ord"))
-    return templates.keep_newest(rows).select(F.col("document_type").alias("label"), F.col("ord").alias("vec_id"))
-
-
-@_query()
-def template_learning(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = table(spark, sf_dir, "embeddings").select(F.col("label").alias("document_type"), F.col("vec_id").alias("ord"), F.col("embedding").alias("vector"))
-    return templates.learn_capped(rows).select(F.col("document_type").alias("label"), "slot", F.col("ord").alias("vec_id"))
-
-
-@_query("select coalesce(s.n, t.n) as template_name, coalesce(s.v, t.v) as value from (select 'k' || s_suppkey as n, s_acctbal as v from supplier) s full join (select 'k' || c_custkey as n, c_acctbal as v from customer) t on s.n = t.n")
+@_query("""with s as (select case when s_suppkey % 10 = 0 then 'template-' || s_suppkey else 'k' || s_suppkey end as n, s_acctbal as v, s_suppkey as o from supplier),
+t as (select case when c_custkey % 7 = 0 then 'template-' || c_custkey else 'k' || c_custkey end as n, c_acctbal as v, c_custkey as o from customer)
+select coalesce(s.n, t.n) as template_name, coalesce(s.v, t.v) as value, coalesce(t.o, s.o + 1099511627776) as ord from s full join t on s.n = t.n""")
 def promote_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    named = lambda t, k, v: table(spark, sf_dir, t).select(F.concat(F.lit("k"), F.col(k).cast("string")).alias("template_name"), F.col(v).alias("value"))
-    return templates.promote(named("supplier", "s_suppkey", "s_acctbal"), named("customer", "c_custkey", "c_acctbal"))
-
-
-@_query("""select c_custkey, case when c_custkey % 4 = 0 or c_custkey % 10 = 1 then null else c_name end as value, c_custkey % 4 = 0 or c_custkey % 10 = 1 as cleared
-from (select c_custkey, c_name from customer)""")
-def bad_pattern_apply(spark: SparkSession, sf_dir: str) -> DataFrame:
-    key = F.col("c_custkey")
-    value = F.when(key % 4 == 0, "_____").when(key % 10 == 1, "N/A (none)").otherwise(F.col("c_name"))
-    fields = table(spark, sf_dir, "customer").select("c_custkey", F.lit("invoice").alias("document_type"), F.lit("vendor_name").alias("field"), value.alias("value"))
-    rejected = spark.createDataFrame([("___",), ("n/a (NONE)",)], "v string").select(
-        F.lit("invoice").alias("document_type"), F.lit("vendor_name").alias("field"), templates.bad_pattern(F.col("v")).alias("pattern")
-    )
-    return templates.clear_bad_values(fields, rejected).select("c_custkey", "value", "cleared")
+    def named(t: str, k: str, v: str, blank: int) -> DataFrame:
+        name = F.when(F.col(k) % blank != 0, F.concat(F.lit("k"), F.col(k).cast("string")))
+        return table(spark, sf_dir, t).select(name.alias("template_name"), F.col(v).alias("value"), F.col(k).alias("ord"))
+
+    return templates.promote(named("supplier", "s_suppkey", "s_acctbal", 10), named("customer", "c_custkey", "c_acctbal", 7))
 
 
 @_query("""select l_orderkey as doc, round(max(n) over (partition by l_orderkey) * 0 + n / max(n) over (partition by l_orderkey), 4) as density, cell from
@@ -275,14 +266,6 @@ def field_confidence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("o_orderkey", "source", "confidence", quality_scores.badge(F.col("confidence")).alias("badge"))
 
 
-@_query("select o_orderkey, case o_orderkey % 4 when 3 then false else true end as same from orders")
-def value_equivalence(spark: SparkSession, sf_dir: str) -> DataFrame:
-    key, price = F.col("o_orderkey"), F.col("o_totalprice")
-    a = F.when(key % 4 == 0, F.format_number(price, 2)).when(key % 4 == 1, F.lit("  Acme ")).when(key % 4 == 2, F.lit(None)).otherwise("Acme")
-    b = F.when(key % 4 == 0, F.format_string("$%.2f", price)).when(key % 4 == 1, "Acme").when(key % 4 == 2, " ").otherwise("acme")
-    return table(spark, sf_dir, "orders").select("o_orderkey", quality_scores.equivalent(a, b).alias("same"))
-
-
 @_query("""select o_orderkey, cast(case o_orderkey % 5 when 0 then 60 when 1 then 2 + o_orderkey % 30 when 2 then 30 when 3 then 15 end as integer) as wait from orders""")
 def retry_after(spark: SparkSession, sf_dir: str) -> DataFrame:
     key = F.col("o_orderkey")
@@ -313,7 +296,15 @@ def upsert_latest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup.upsert(old, new, "c_custkey")
 
 
-@_query("""select o_orderkey, case when o_orderkey % 2 = 0 then sha256(lower(trim(o_orderpriority)) || '|' || lower(o_orderstatus) || '|') else '' end as fp from orders""")
+@_query("""with v as (select o_orderkey, case when o_orderkey % 3 <> 0 then 'acme  co' else '' end as a, case when o_orderkey % 2 = 0 then lower(o_orderpriority) else '' end as b, '' as c,
+case o_orderkey % 5 when 0 then '' when 1 then (o_orderkey % 1000)::varchar || '.5' when 2 then (20000000 + o_orderkey % 1000)::varchar || '.0' when 3 then '0.00025' else '1234567.25' end as d from orders)
+select o_orderkey, case when (a <> '')::int + (b <> '')::int + (d <> '')::int >= 2 then sha256(a || '|' || b || '|' || c || '|' || d) else '' end as fp from v""")
 def semantic_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
-    status = F.when(F.col("o_orderkey") % 2 == 0, F.col("o_orderstatus"))
-    return table(spark, sf_dir, "orders").select("o_orderkey", dedup.fingerprint(F.col("o_orderpriority"), status, F.lit(None).cast("string")).alias("fp"))
+    """Fingerprints of invoices with two, three or fewer fields, amounts of many sizes, and white space inside a name."""
+    key = F.col("o_orderkey")
+    amount = F.when(key % 5 == 0, 0.0).when(key % 5 == 1, key % 1000 + 0.5).when(key % 5 == 2, (20000000 + key % 1000).cast("double")).when(key % 5 == 3, 0.00025).otherwise(1234567.25)
+    rows = table(spark, sf_dir, "orders").select(
+        "o_orderkey", F.when(key % 3 != 0, " Acme  Co ").alias("vendor_name"), F.when(key % 2 == 0, F.col("o_orderpriority")).alias("invoice_number"), F.lit(" ").alias("invoice_date"),
+        amount.cast("double").alias("total_amount"),
+    )
+    return rows.select("o_orderkey", dedup.document_fingerprint(rows, "invoice").alias("fp"))

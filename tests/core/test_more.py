@@ -32,7 +32,7 @@ def test_query_gives_the_rows_of_its_sql(spark, name):
 
 def test_panels_take_what_python_reads_as_numbers(spark):
     got = one(spark, "Iron\nnan\nug\nZinc\n1e5\nLead\n1d\nGlucose\n\nSODIUM\n5\nu", reports.lab_panels)
-    assert [tuple(r) for r in got] == [("Iron", "nan", "ug"), ("Zinc", "1e5", "Lead")]
+    assert [tuple(r) for r in got] == [("Iron", "nan", "ug", "", ""), ("Zinc", "1e5", "Lead", "", "")]
 
 
 @pytest.mark.parametrize("text", [None, "", "\n\n"])
@@ -66,8 +66,9 @@ def test_replies(spark):
 
 def test_signature_scores(spark):
     rows = spark.createDataFrame([("Invoice 12\nTotal 3", "Invoice 99\nTotal 4"), ("abc", "xyz"), (None, "")], "a string, b string")
-    signed = rows.select(templates.text_signature(F.col("a")).alias("l"), templates.text_signature(F.col("b")).alias("r"))
-    assert [r["score"] for r in templates.score_signatures(signed, "l", "r").collect()] == [1.0, 0.3, 1.0]
+    signed = rows.select("a", templates.text_signature(F.col("a")).alias("l"), templates.text_signature(F.col("b")).alias("r"))
+    scores = {r["a"]: r["score"] for r in templates.score_signatures(signed.union(signed), "l", "r").collect()}
+    assert scores == {"Invoice 12\nTotal 3": 1.0, "abc": 0.3, None: 1.0}
 
 
 def test_no_template_hit(spark):
@@ -78,7 +79,7 @@ def test_no_template_hit(spark):
 def test_full_store_replaces_the_most_similar(spark):
     import random
 
-    from formloom.operators import templates
+    from formloom.operators import learning, templates
 
     r = random.Random(2)
     rows = [(k, i, [r.gauss(0, 1) for _ in range(3)] if i % 9 else [0.0] * 3) for k in ("a", "b") for i in range(60)]
@@ -92,12 +93,13 @@ def test_full_store_replaces_the_most_similar(spark):
                 store[scores.index(max(scores))] = (i, v)
             else:
                 store.append((i, v))
-        got = templates.learn_capped(spark.createDataFrame(rows, "document_type string, ord long, vector array<double>").repartition(3), cap, merge).collect()
+        full = [(k, i, f"t{i}", v, {}, None) for k, i, v in rows]
+        got = learning.learn_templates(spark.createDataFrame(full, learning.TEMPLATE).repartition(3), cap, merge).collect()
         assert {(x["document_type"], x["slot"]): x["ord"] for x in got} == {(k, n): i for k, store in want.items() for n, (i, _) in enumerate(store)}
 
 
 def test_anchors_score_what_has_no_similarity(spark):
-    from formloom.operators import templates
+    from formloom.operators import learning, templates
 
     docs = spark.createDataFrame([(1, "a", [], "TOTAL: 5 due"), (2, "a", [1.0], "total: 5"), (3, "a", [], "")], "doc long, document_type string, vector array<double>, text string")
     store = spark.createDataFrame(
@@ -111,6 +113,6 @@ def test_anchors_score_what_has_no_similarity(spark):
 def test_whole_tables_are_matched_and_reported(spark):
     import __spark_entry__ as entry
 
-    for name, source in (("template_match_all", "embeddings"), ("business_report_all", "orders")):
+    for name, source in (("template_match", "embeddings"), ("business_report", "orders")):
         whole = spark.read.parquet(f"/root/testdata/sf0.001/{source}.parquet")
         assert entry.queries()[name](spark, "/root/testdata/sf0.001").count() == whole.count()
