@@ -19,7 +19,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .native import SPACE_CLASS, let, space_words, total
+from .native import let, space_words, total
 
 SYMBOL_CLASS = "[#*$%&|<>]"
 
@@ -50,6 +50,12 @@ BOILERPLATE = (
     "aviso legal",
     "uso de cookies",
 )
+#: Parts of the phrases, fewer than they are, of which each has one: a text without any of them has no phrase.
+_PHRASE_PARTS = (
+    "cookie", "policy", "reserv", "réserv", "terms of", "términos", "legal", "légal", "javascript", "licensed", "lorem", "newsletter",
+    "confidential", "utilisation", "vorbehalten", "datenschutz", "nutzungs", "privacidad",
+)
+assert all(any(part in phrase for part in _PHRASE_PARTS) for phrase in BOILERPLATE)
 
 #: Words of menus, in the same languages. A short line of nothing else is navigation.
 MENU_WORDS = frozenset(
@@ -58,7 +64,9 @@ MENU_WORDS = frozenset(
     " startseite kontakt anmelden registrieren suche suchen weiter zurück seite impressum hilfe nachrichten über uns"
     " inicio contacto acceder registrarse buscar siguiente anterior volver página ayuda noticias mapa".split()
 )
+NAV_MARKS = "|·•»›→/>"
 _NAV_SEPARATOR = r"[|·•»›→]|\s[/>]\s"
+_MENU_LINE = r"(?iu)^[^\p{L}]*(?:(?:" + "|".join(sorted(MENU_WORDS)) + r")(?:[^\p{L}]+|$))+$"
 _TERMINAL = r"[.!?…:;,][\p{Pe}\p{Pf}\p{Pi}\"'\s]*$"
 
 
@@ -103,13 +111,16 @@ def _repeat_words(words: Column, k: int) -> Column:
         return let(located, lambda s: let(positions(s), length))
 
     def grams(h: Column) -> Column:
-        # An incomplete window at the end hashes its own position instead, so it equals no other.
-        return F.transform(
-            h,
-            lambda x, i: F.when(
-                i <= F.size(h) - k, F.xxhash64(x, *[F.get(h, i + d) for d in range(1, k)])
-            ).otherwise(F.xxhash64(i)),
-        )
+        """Hashes of all windows, by doubling: a window is two shorter ones, which overlap where they must."""
+
+        def wider(g: Column, width: int) -> Column:
+            if width == k:
+                return F.slice(g, F.lit(1), F.size(h) - (k - 1))
+            step = min(width, k - width)
+            pairs = lambda x: F.zip_with(x, F.slice(x, F.lit(step + 1), F.size(h)), lambda a, b: F.xxhash64(a, b))
+            return let(pairs(g), lambda x: wider(x, width + step))
+
+        return wider(h, 1)
 
     counted = let(
         let(F.transform(words, lambda x: F.xxhash64(x)), grams),
@@ -118,149 +129,116 @@ def _repeat_words(words: Column, k: int) -> Column:
     return F.when(F.size(words) >= k, counted).otherwise(F.lit(0).cast("long"))
 
 
-def _line_passes(line: Column, has: Column, limits: QualityLimits) -> Column:
-    """True for a line that no line rule removes; a line without words always stays.
+def _holds(text: Column, parts) -> Column:
+    """Whether a text holds any of some parts; searches of bytes, where a pattern would step through all characters."""
+    out = F.lit(False)
+    for p in parts:
+        out = out | F.contains(text, F.lit(p))
+    return out
 
-    ``has`` says of the whole text whether it holds symbols, shouting, boilerplate,
-    separators of menus or repeated windows, without which the rule in question is not asked.  So a line
-    counts as repetitive if it has few distinct words and its text repeats windows.
-    """
 
-    def judged(w: Column) -> Column:
-        n = F.size(w)
-        low = F.lower(line)
-        phrase = F.lit(False)
-        for p in BOILERPLATE:
-            phrase = phrase | F.contains(low, F.lit(p))
-        bad = (
-            (has["symbols"] & (F.size(F.filter(w, lambda x: x.rlike(SYMBOL_CLASS))) * 100 > n * limits.max_line_symbol_pct))
-            | (has["shouts"] & (F.size(F.filter(w, lambda x: x.endswith("!!"))) * 100 > n * limits.max_line_shout_pct))
-            | (
-                has["repeats"]
-                & (n >= limits.distinct_from_words)
-                & (F.size(F.array_distinct(w)) * 100 <= n * limits.min_line_distinct_pct)
-            )
-            | (has["boiler"] & phrase)
-            | ((F.regexp_count(line, F.lit(r"[\p{P}\p{S}]")) * 100 > F.length(F.array_join(w, "")) * limits.max_line_punctuation_pct))
-            | (has["bars"] & let(F.split(line, _NAV_SEPARATOR), items))
-            | ((n <= limits.menu_line_words) & F.forall(w, lambda x: _menu_word(x)))
-        )
-        return (n == 0) | ~bad
+def _boiler(low: Column) -> Column:
+    return _holds(low, BOILERPLATE)
 
-    def items(parts: Column) -> Column:
-        """Several separated items, none of them long."""
-        full = F.filter(parts, lambda x: x.rlike(r"[\p{L}\p{N}]"))
-        return let(full, lambda x: (F.size(x) >= limits.nav_items) & F.forall(x, lambda y: F.size(space_words(y)) <= limits.nav_item_words))
 
-    return let(space_words(line), judged)
+def _no_space(text: Column) -> Column:
+    for c in " \n\t\r\x0b\x0c":
+        text = F.replace(text, F.lit(c), F.lit(""))
+    return text
 
 
-def _menu_word(word: Column) -> Column:
-    bare = F.regexp_replace(F.lower(word), r"[^\p{L}]", "")
-    return (bare == "") | bare.isin(*sorted(MENU_WORDS))
+def _line_passes(x: Column, has: Column, limits: QualityLimits) -> Column:
+    """True for a line ``struct<line, w>`` that no line rule removes; a line without words always stays.
 
+    ``has`` says whether the text holds symbols, shouting, boilerplate or separators of menus
+    anywhere; no line can fail a rule whose marks its text has nowhere.
+    """
+    line, w = x["line"], x["w"]
+    n = F.size(w)
 
-def _short(line: Column, limits: QualityLimits) -> Column:
-    """True for a line of few words that no mark ends, as an item of a list of links is."""
-    return ~line.rlike(_TERMINAL) & line.rlike(r"\p{L}") & (F.size(space_words(line)) <= limits.nav_item_words)
+    def items(parts: Column) -> Column:
+        """Several separated items, none of them long."""
+        full = F.filter(parts, lambda y: y.rlike(r"[\p{L}\p{N}]"))
+        return let(full, lambda y: (F.size(y) >= limits.nav_items) & F.forall(y, lambda z: F.size(space_words(z)) <= limits.nav_item_words))
+
+    bad = (
+        (F.length(F.regexp_replace(line, r"[a-zA-Z0-9 ]+|[\p{L}\p{N}\s]+", "")) * 100 > F.length(line) * limits.max_line_punctuation_pct)
+        | (has["symbols"] & (F.size(F.filter(w, lambda y: y.rlike(SYMBOL_CLASS))) * 100 > n * limits.max_line_symbol_pct))
+        | (has["shouts"] & (F.size(F.filter(w, lambda y: y.endswith("!!"))) * 100 > n * limits.max_line_shout_pct))
+        | ((n >= limits.distinct_from_words) & (F.size(F.array_distinct(w)) * 100 <= n * limits.min_line_distinct_pct))
+        | (has["boiler"] & let(F.lower(line), _boiler))
+        | (has["bars"] & let(F.split(line, _NAV_SEPARATOR), items))
+        | ((n <= limits.menu_line_words) & line.rlike(_MENU_LINE))
+    )
+    return (n == 0) | ~bad
 
 
-def _not_in_run(lines: Column, limits: QualityLimits) -> Column:
-    """The lines without those in a run of short ones; blank lines neither end a run nor count."""
+def _in_runs(lines: Column, limits: QualityLimits) -> Column:
+    """Places of the lines in runs of short ones; blank lines neither end a run nor count."""
 
     def marked(full: Column) -> Column:
         # The places of the lines that end runs, with the two ends of the text.
-        stops = F.concat(F.array(F.lit(-1)), F.filter(F.transform(full, lambda x, i: F.when(~_short(x["line"], limits), i)), lambda i: i.isNotNull()), F.array(F.size(full)))
+        stops = F.concat(F.array(F.lit(-1)), F.filter(F.transform(full, lambda x, i: F.when(~x["short"], i)), lambda i: i.isNotNull()), F.array(F.size(full)))
         runs = lambda s: F.filter(F.transform(s, lambda x, j: F.struct((x + 1).alias("a"), F.get(s, j + 1).alias("b"))), lambda r: r["b"] - r["a"] >= limits.short_run_lines)
         places = lambda r: F.flatten(F.transform(r, lambda y: F.transform(F.slice(full, y["a"] + 1, y["b"] - y["a"]), lambda z: z["i"])))
         return let(stops, lambda s: let(runs(s), places))
 
-    full = F.filter(F.transform(lines, lambda x, i: F.struct(i.alias("i"), x.alias("line"))), lambda x: x["line"].rlike("[^\\x20\\x09-\\x0D]"))
-    without = lambda gone: F.when(F.size(gone) == 0, lines).otherwise(
-        F.transform(F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), gone), lambda i: F.get(lines, i))
-    )
-    return F.when(F.size(lines) >= limits.short_run_lines, let(let(full, marked), without)).otherwise(lines)
+    full = F.filter(F.transform(lines, lambda x, i: F.struct(i.alias("i"), x["short"].alias("short"), F.size(x["w"]).alias("n"))), lambda x: x["n"] > 0)
+    enough = F.size(F.filter(lines, lambda x: x["short"])) >= limits.short_run_lines
+    return F.when(enough, let(full, marked)).otherwise(F.array().cast("array<int>"))
 
 
 def _measured(text: Column, limits: QualityLimits) -> Column:
     """One struct with every measure of a text and its text without failing lines.
 
     It is bound by ``let`` throughout: were it a plain struct, each of its fields
-    would be computed apart, and the words split anew for each.
+    would be computed apart, and the words split anew for each.  Words never hold a
+    line end, so those of a text are those of its lines.
     """
 
+    def of_line(line: Column) -> Column:
+        # A line of few words that no mark ends, as an item of a list of links is.
+        few = lambda w: (F.size(w) > 0) & (F.size(w) <= limits.nav_item_words) & ~line.rlike(_TERMINAL) & line.rlike(r"\p{L}")
+        return let(space_words(line), lambda w: F.struct(line.alias("line"), w.alias("w"), few(w).alias("short")))
+
     def of_text(t: Column) -> Column:
-        symbols = F.size(F.regexp_extract_all(t, F.lit(SYMBOL_CLASS), F.lit(0))).cast("long")
-        low = F.lower(t)
-        boiler = F.lit(False)
-        for p in BOILERPLATE:
-            boiler = boiler | F.contains(low, F.lit(p))
-
-        def with_words(w: Column) -> Column:
-            seen = F.struct(
-                symbols.alias("n_symbols"),
-                _repeat_words(w, limits.window).alias("n_repeat_words"),
-                F.contains(t, F.lit("!!")).alias("shouts"),
-                boiler.alias("boiler"),
-                t.rlike(_NAV_SEPARATOR).alias("bars"),
-            )
-            return let(seen, lambda x: let(of_lines(t, x), lambda y: result(t, w, x, y)))
+        return let(F.transform(F.split(t, "\n"), of_line), lambda lines: let(F.flatten(F.transform(lines, lambda x: x["w"])), lambda w: of_words(t, lines, w)))
 
-        return let(space_words(t), with_words)
+    def of_words(t: Column, lines: Column, w: Column) -> Column:
+        symbols = F.when(_holds(t, SYMBOL_CLASS[1:-1]), F.size(F.regexp_extract_all(t, F.lit(SYMBOL_CLASS), F.lit(0)))).otherwise(0)
+        has = F.struct(
+            symbols.cast("long").alias("n_symbols"), F.contains(t, F.lit("!!")).alias("shouts"), let(F.lower(t), lambda low: _holds(low, _PHRASE_PARTS)).alias("boiler"), _holds(t, NAV_MARKS).alias("bars"),
+        )
+        flags = lambda h: F.struct((h["n_symbols"] > 0).alias("symbols"), h["shouts"].alias("shouts"), h["boiler"].alias("boiler"), h["bars"].alias("bars"))
+        return let(has, lambda h: let(flags(h), lambda f: let(kept_lines(lines, f), lambda kept: result(t, lines, w, h, kept))))
 
-    def of_lines(t: Column, seen: Column) -> Column:
-        flags = F.struct(
-            (seen["n_symbols"] > 0).alias("symbols"),
-            (seen["n_repeat_words"] > 0).alias("repeats"),
-            seen["shouts"].alias("shouts"),
-            seen["boiler"].alias("boiler"),
-            seen["bars"].alias("bars"),
-        )
+    def kept_lines(lines: Column, f: Column) -> Column:
+        def without(gone: Column) -> Column:
+            rest = F.transform(F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), gone), lambda i: F.get(lines, i))
+            return F.when(F.size(gone) == 0, lines).otherwise(rest)
 
-        def cleaned(x: Column) -> Column:
-            def judged(f: Column) -> Column:
-                return let(
-                    F.filter(_not_in_run(x, limits), lambda line: _line_passes(line, f, limits)),
-                    lambda y: F.when(F.size(y) == F.size(x), t).otherwise(F.array_join(y, "\n")),
-                )
-
-            return let(flags, judged)
-
-        return let(
-            F.split(t, "\n"),
-            lambda x: F.struct(
-                let(
-                    F.filter(x, lambda line: line.rlike("[^\\x20\\x09-\\x0D]")),
-                    lambda y: F.size(y) - F.size(F.array_distinct(y)),
-                )
-                .cast("long")
-                .alias("dup"),
-                cleaned(x).alias("text"),
-            ),
-        )
+        return F.filter(let(_in_runs(lines, limits), without), lambda x: _line_passes(x, f, limits))
 
-    def result(t: Column, w: Column, seen: Column, lines: Column) -> Column:
+    def result(t: Column, lines: Column, w: Column, has: Column, kept: Column) -> Column:
+        full = F.transform(F.filter(lines, lambda x: F.size(x["w"]) > 0), lambda x: x["line"])
         return F.struct(
             F.size(w).cast("long").alias("n_words"),
-            F.length(F.array_join(w, "")).cast("long").alias("word_chars"),
-            seen["n_symbols"].alias("n_symbols"),
-            lines["dup"].alias("n_dup_lines"),
-            seen["n_repeat_words"].alias("n_repeat_words"),
-            lines["text"].alias("cleaned"),
-            F.when(F.octet_length(lines["text"]) == F.octet_length(t), F.size(w))
-            .otherwise(F.size(space_words(lines["text"])))
-            .alias("n_kept"),
+            F.length(_no_space(t)).cast("long").alias("word_chars"),
+            has["n_symbols"].alias("n_symbols"),
+            let(full, lambda y: F.size(y) - F.size(F.array_distinct(y))).cast("long").alias("n_dup_lines"),
+            _repeat_words(w, limits.window).alias("n_repeat_words"),
+            F.when(F.size(kept) == F.size(lines), t).otherwise(F.array_join(F.transform(kept, lambda x: x["line"]), "\n")).alias("cleaned"),
+            total(F.transform(kept, lambda x: F.size(x["w"]).cast("long"))).alias("n_kept"),
         )
 
     return let(F.coalesce(text, F.lit("")), of_text)
 
 
 def _judged(docs: DataFrame, keep: list[Column], text: str, limits: QualityLimits) -> DataFrame:
-    rows = docs.select(*keep, _measured(docs[text], limits).alias("m"))
+    # Exploded from an array of one: a filter on its fields is not pushed below, where it would compute all measures once more.
+    rows = docs.select(*keep, F.explode(F.array(_measured(docs[text], limits))).alias("m"))
     m = F.col("m")
-    failed = (m["n_words"] < limits.min_words) | (
-        100 * m["n_repeat_words"] > limits.max_repeat_pct * m["n_words"]
-    )
+    failed = (m["n_words"] < limits.min_words) | (100 * m["n_repeat_words"] > limits.max_repeat_pct * m["n_words"])
     measures = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
     return rows.select(
         *[c for c in rows.columns if c != "m"],
