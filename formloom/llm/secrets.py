@@ -1,15 +1,19 @@
 """Secret scans: rules, and a character convolutional network over every candidate.
 
 Three rules find assignments, access keys and hexadecimal runs; their spans always
-stay.  Every run of 16 or more key characters that no rule found is a candidate too.
+stay.  Every run of 16 or more key characters is a candidate, also where a rule found it.
 A small convolutional network in numpy reads each candidate with the characters
 around it, and those that score at least the threshold add a span of kind ``net``.
 
-The network is trained on labelled findings: generated keys, tokens and ordinary
-long strings in the contexts they occur in (``examples``, a fixed number).  Scores
-of whole candidates, the greatest of their windows', are calibrated on a held-out fold
-by a logistic scale and shift.  The threshold is
-the one of greatest precision there among those that keep the stated recall.
+The network is trained on two kinds of labelled findings: generated keys, tokens and
+ordinary long strings in the contexts they occur in (``examples``, a fixed number), and
+candidates of the texts themselves (``sample`` of all distinct ones, those of the smallest
+hashes): those that a rule found count as secrets, those that none found as ordinary
+strings if they are of one kind of character, a word or a number; others, which may be
+keys that the rules do not know, are left out.  Scores of whole candidates, the
+greatest of their windows', are calibrated on a held-out fold by a logistic scale and
+shift.  The threshold is the one of greatest precision there among those that keep the
+stated recall.  Taking the sample and training run when the frame is built.
 
 Defined results for odd input: null and empty texts have no findings; a null id is
 passed through; repeated rows are scanned one by one; an empty table gives an empty
@@ -20,7 +24,6 @@ from __future__ import annotations
 
 import hashlib
 import re
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -35,12 +38,14 @@ ASSIGN = re.compile(
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]+")
 HEX_LONG = re.compile(r"[0-9a-f]{24,}")
+ORDINARY = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|[0-9]+|(.)\1*")
 CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{16,}", re.ASCII)
 
 WIDTH, CONTEXT = 48, 16  # characters of a candidate and of each side that the network reads at once
 _ALPHABET = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+/_=-.:;,'\"<>()[]{}@#$%&*!?|\\~^` \n\t"
 _CODE = {c: i + 1 for i, c in enumerate(_ALPHABET)}
 _OTHER, _PAD = len(_ALPHABET) + 1, 0
+_CODES = np.array([_PAD, *[_CODE.get(chr(i), _OTHER) for i in range(1, 128)], _OTHER], dtype=np.int64)
 
 
 def rule_spans(text: str) -> list[tuple[int, int, str]]:
@@ -52,20 +57,24 @@ def rule_spans(text: str) -> list[tuple[int, int, str]]:
     return sorted(out)
 
 
-def _codes(text: str, start: int, stop: int) -> np.ndarray:
-    """A window of character codes: context, candidate (its first WIDTH characters), context."""
+def _line(text: str, start: int, stop: int) -> str:
+    """A window of characters: context, candidate (its first WIDTH characters), context; nulls where there is nothing."""
     body = text[start : min(stop, start + WIDTH)]
     left = text[max(0, start - CONTEXT) : start].rjust(CONTEXT, "\0")
-    right = text[stop : stop + CONTEXT].ljust(CONTEXT, "\0")
-    line = left + body.ljust(WIDTH, "\0") + right
-    return np.array([_PAD if c == "\0" else _CODE.get(c, _OTHER) for c in line], dtype=np.int64)
+    return left + body.ljust(WIDTH, "\0") + text[stop : stop + CONTEXT].ljust(CONTEXT, "\0")
 
 
-def windows(text: str, start: int, stop: int) -> list[np.ndarray]:
+def windows(text: str, start: int, stop: int) -> list[str]:
     """Windows that cover a whole candidate; a long one takes several, half a width apart."""
     last = max(start, stop - WIDTH)
     starts = [*range(start, last, WIDTH // 2), last]
-    return [_codes(text, s, min(stop, s + WIDTH)) for s in starts]
+    return [_line(text, s, min(stop, s + WIDTH)) for s in starts]
+
+
+def encoded(lines: list[str]) -> np.ndarray:
+    """Character codes of windows, a row each."""
+    points = np.frombuffer("".join(lines).encode("utf-32-le", "replace"), dtype=np.uint32).reshape(len(lines), WIDTH + 2 * CONTEXT)
+    return _CODES[np.minimum(points, 128)]
 
 
 class CharCNN:
@@ -157,12 +166,7 @@ class CharCNN:
         return 1 / (1 + np.exp(-np.clip(self.logits(x) * self.scale + self.shift, -30, 30)))
 
 
-def labelled_findings(examples: int, seed: int = 11) -> tuple[np.ndarray, np.ndarray]:
-    """Windows and labels of generated findings."""
-    return labelled_candidates(examples, seed)[:2]
-
-
-def labelled_candidates(examples: int, seed: int = 11) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def labelled_candidates(examples: int, seed: int = 11) -> tuple[list[str], np.ndarray, np.ndarray]:
     """All windows of generated findings with label and finding: keys of many shapes, and strings that only look long."""
     r = np.random.default_rng(seed)
     lower, digits = "abcdefghijklmnopqrstuvwxyz", "0123456789"
@@ -218,42 +222,74 @@ def labelled_candidates(examples: int, seed: int = 11) -> tuple[np.ndarray, np.n
             x.append(line)
             y.append(float(secret))
             owner.append(i)
-    return np.array(x), np.array(y), np.array(owner)
+    return x, np.array(y), np.array(owner)
+
 
+def labelled_sample(docs: DataFrame, sample: int, text_col: str = "text") -> list[tuple[str, bool]]:
+    """(window, label) of at most ``sample`` distinct windows of the texts' labelled candidates, of the smallest hashes."""
 
-@lru_cache(maxsize=4)
-def trained(examples: int = 3000, recall: float = 0.95) -> CharCNN:
-    """The network: four fifths of the labelled findings train it, the last calibrates it."""
-    x, y, owner = labelled_candidates(examples)
-    cut = int(np.searchsorted(owner, examples * 4 // 5))
+    def run(batches):
+        for batch in batches:
+            lines, labels = [], []
+            for x in batch[0]:
+                text = _text(x)
+                for start, stop, found in candidates(text, rule_spans(text)):
+                    if not found and not ORDINARY.fullmatch(text, start, stop):
+                        continue
+                    new = windows(text, start, stop)
+                    lines += new
+                    labels += [found] * len(new)
+            yield pa.RecordBatch.from_arrays([pa.array(lines, pa.string()), pa.array(labels, pa.bool_())], ["line", "label"])
+
+    found = docs.select(docs[text_col].cast("binary").alias("text")).mapInArrow(run, "line string, label boolean")
+    rows = found.groupBy("line").agg(F.max("label").alias("label")).orderBy(F.xxhash64("line"), "line").limit(sample).collect()
+    return [(r["line"], r["label"]) for r in rows]
+
+
+def trained(examples: int = 3000, recall: float = 0.95, found: tuple[tuple[str, bool], ...] = ()) -> CharCNN:
+    """The network: four fifths of the labelled findings, generated and ``found``, train it, the last fifth calibrates it."""
+    lines, y, owner = labelled_candidates(examples)
+    lines = lines + [line for line, _ in found]
+    y = np.concatenate((y, [float(label) for _, label in found]))
+    owner = np.concatenate((owner, examples + np.arange(len(found))))
+    x = encoded(lines)
+    held = owner % 5 == 4
     net = CharCNN()
-    net.fit(x[:cut], y[:cut])
-    net.calibrate(x[cut:], y[cut:], owner[cut:], recall)
+    net.fit(x[~held], y[~held])
+    net.calibrate(x[held], y[held], owner[held], recall)
     return net
 
 
+def candidates(text: str, spans: list[tuple[int, int, str, int]]):
+    """(start, stop, whether a rule found it) of each candidate; one pass over the text and its sorted spans."""
+    at, reach = 0, -1
+    for m in CANDIDATE.finditer(text):
+        while at < len(spans) and spans[at][0] < m.end():
+            reach = max(reach, spans[at][3])
+            at += 1
+        yield m.start(), m.end(), reach > m.start()
+
+
 def find_spans(texts: list[str], net: CharCNN) -> list[list[tuple[int, int, str, int]]]:
     """All spans of each text; the candidates of a block are scored together."""
     found, lines, owners = [], [], []
     for i, text in enumerate(texts):
         spans = rule_spans(text)
-        found.append(spans)
-        taken = [(s, e) for s, _, _, e in spans]
-        for m in CANDIDATE.finditer(text):
-            if not any(s < m.end() and m.start() < e for s, e in taken):
-                w = windows(text, m.start(), m.end())
-                lines += w
-                owners += [(i, m.start(), m.end())] * len(w)
-                if len(lines) > 4096:
-                    _score(net, lines, owners, found)
-                    lines, owners = [], []
+        found.append(list(spans))
+        for start, stop, _ in candidates(text, spans):
+            new = windows(text, start, stop)
+            lines += new
+            owners += [(i, start, stop)] * len(new)
+            if len(lines) > 4096:
+                _score(net, lines, owners, found)
+                lines, owners = [], []
     _score(net, lines, owners, found)
     return [sorted(set(x)) for x in found]
 
 
-def _score(net: CharCNN, lines: list[np.ndarray], owners: list[tuple[int, int, int]], found: list) -> None:
+def _score(net: CharCNN, lines: list[str], owners: list[tuple[int, int, int]], found: list) -> None:
     if lines:
-        p = net.probability(np.array(lines))
+        p = net.probability(encoded(lines))
         for (i, start, stop), good in zip(owners, p >= net.threshold, strict=True):
             if good:
                 found[i].append((start, 3, "net", stop))
@@ -269,10 +305,11 @@ def _joined(spans) -> str:
 
 
 def scan_secrets(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", examples: int = 3000, recall: float = 0.95
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", examples: int = 3000, recall: float = 0.95, sample: int = 2000
 ) -> DataFrame:
     """doc_id, n_assign, n_access, n_hex, base_sha256, spans, n_net: one row per input row."""
-    net = docs.sparkSession.sparkContext.broadcast(trained(examples, recall))  # a few thousand numbers
+    net = trained(examples, recall, tuple(labelled_sample(docs, sample, text_col)))
+    net = docs.sparkSession.sparkContext.broadcast(net)  # a few thousand numbers
 
     def run(batches):
         for batch in batches:
@@ -307,10 +344,11 @@ def scan_secrets(
 
 
 def redact_secrets(
-    docs: DataFrame, text_col: str = "text", mask: str = "[secret]", examples: int = 3000, recall: float = 0.95
+    docs: DataFrame, text_col: str = "text", mask: str = "[secret]", examples: int = 3000, recall: float = 0.95, sample: int = 2000
 ) -> DataFrame:
     """The documents with every span replaced by ``mask``; ``n_chars`` follows where the input has it."""
-    net = docs.sparkSession.sparkContext.broadcast(trained(examples, recall))
+    net = trained(examples, recall, tuple(labelled_sample(docs, sample, text_col)))
+    net = docs.sparkSession.sparkContext.broadcast(net)
 
     @F.pandas_udf(T.StringType())
     def redact(texts):

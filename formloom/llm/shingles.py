@@ -2,7 +2,9 @@
 
 Words are the runs of bytes other than space and tab to carriage return of a text
 whose A-Z are lower-cased.  A word's hash is a polynomial over a table of random
-values, taken from running sums, so one pass serves a whole block of texts.
+values, taken from running sums, so one pass serves a whole block of texts.  Such
+polynomials agree on some long words that differ (Thue-Morse words of 1,024 bytes),
+so words of over ``LONG`` bytes are hashed by XXH3.
 """
 
 from __future__ import annotations
@@ -10,7 +12,9 @@ from __future__ import annotations
 import re
 
 import numpy as np
+import xxhash
 
+LONG = 256
 BLOCK = 1 << 19  # bytes handled at once; a longer text goes through in pieces cut between words
 
 _rng = np.random.default_rng(20240607)
@@ -80,15 +84,12 @@ def word_hashes(texts: list[bytes]) -> list[np.ndarray]:
 
 
 def _hash_long(piece: bytes) -> np.ndarray:
-    """The hash of the one word of a piece longer than a block, from sums carried over from part to part."""
-    data = np.frombuffer(piece, dtype=np.uint8)
-    data = data[~_SPACE[data]]
-    total = 0
-    for at in range(0, len(data), BLOCK):
-        part = _LOWER[data[at : at + BLOCK]]
-        total += int((_VALUE[part] * _power(_R, "up")[: len(part)]).sum(dtype=np.uint64)) * pow(_R, at, 1 << 64)
-    total += len(data) * _R
-    return mix(np.array([total % (1 << 64)], dtype=np.uint64))
+    """The hash of the one word of a piece longer than a block."""
+    return np.array([_long(np.frombuffer(piece, dtype=np.uint8)[~_SPACE[np.frombuffer(piece, dtype=np.uint8)]])], dtype=np.uint64)
+
+
+def _long(word: np.ndarray) -> int:
+    return xxhash.xxh3_64_intdigest(_LOWER[word].tobytes())
 
 
 def _hash_block(block: list[tuple[int, bytes]], out: list[list[np.ndarray]]) -> None:
@@ -102,6 +103,8 @@ def _hash_block(block: list[tuple[int, bytes]], out: list[list[np.ndarray]]) ->
     np.cumsum(_VALUE[data] * _power(_R, "up")[: len(data)], out=sums[1:])
     hashes = (sums[stop] - sums[start]) * _power(_R_INVERSE, "down")[start]
     hashes = mix(hashes + (stop - start).astype(np.uint64) * np.uint64(_R))
+    for i in np.flatnonzero(stop - start > LONG):
+        hashes[i] = _long(data[start[i] : stop[i]])
     ends = np.cumsum([len(p) + 1 for _, p in block])
     cuts = np.searchsorted(start, ends)
     at = 0
