@@ -38,7 +38,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .components import components
-from .shared import written
+from .shared import drop_written, written
 from .shingles import mix, shingle_set, word_hashes
 
 
@@ -92,13 +92,24 @@ def signatures(docs: DataFrame, id_col: str, text_col: str, k: int, coordinates:
     return docs.select(docs[id_col].alias("doc_id"), docs[text_col].cast("binary").alias("text")).mapInArrow(run, schema)
 
 
+SALTS = 32
+
+
 def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs ``(u, v)`` whose full shingle sets are similar enough."""
-    left = sets.select(F.col("doc_id").alias("u"), F.col("set").alias("su"))
-    right = sets.select(F.col("doc_id").alias("v"), F.col("set").alias("sv"))
-    common = F.size(F.array_intersect("su", "sv"))
-    joined = pairs.join(left, "u").join(right, "v")
-    return joined.filter(100 * common >= percent * (F.size("su") + F.size("sv") - common)).select("u", "v").distinct()
+    """The pairs ``(u, v)`` of ``pairs(rep, hub)`` whose full shingle sets are similar enough.
+
+    A pair travels with the set of ``rep``; that of a hub, which many pairs may share, goes
+    once to each of its salts, over which its pairs are dealt.
+    """
+    salted = pairs.withColumn("salt", F.pmod(F.xxhash64("rep"), F.lit(SALTS)).cast("int"))
+    mine = sets.select(F.col("doc_id").alias("rep"), F.col("set").alias("a"))
+    other = salted.select(F.col("hub").alias("h"), F.col("salt").alias("s")).distinct().join(
+        sets.select(F.col("doc_id").alias("h"), F.col("set").alias("b")), "h"
+    )
+    joined = salted.join(mine, "rep").join(other, (F.col("hub") == F.col("h")) & (F.col("salt") == F.col("s")))
+    common = F.size(F.array_intersect("a", "b"))
+    similar = joined.filter(100 * common >= percent * (F.size("a") + F.size("b") - common))
+    return similar.select(F.greatest("rep", "hub").alias("u"), F.least("rep", "hub").alias("v")).distinct()
 
 
 def _with_sets(texts: DataFrame, k: int) -> DataFrame:
@@ -211,7 +222,7 @@ def near_duplicates(
         .filter(F.col("rep") != F.col("hub.rep"))
         .select("rep", "sig", F.col("hub.rep").alias("hub"), F.col("hub.sig").alias("hub_sig"))
         .filter(_matches("sig", "hub_sig") >= matches)
-        .select(F.greatest("rep", "hub").alias("u"), F.least("rep", "hub").alias("v"))
+        .select("rep", "hub")
         .distinct()
     )
     first = written(_confirmed(tried, sets, percent), "links")
@@ -249,8 +260,10 @@ def near_duplicates(
         .select(F.greatest("rep", "r2").alias("u"), F.least("rep", "r2").alias("v"))
         .distinct()
     )
-    second = written(_confirmed(rest.join(first, ["u", "v"], "left_anti"), sets, percent), "links")
-    final = components(first.union(second))
+    rest = rest.join(first, ["u", "v"], "left_anti").select(F.col("u").alias("rep"), F.col("v").alias("hub"))
+    second = written(_confirmed(rest, sets, percent), "links")
+    final = written(components(first.union(second)), "final")
+    drop_written(prefixes, members, sets, first, stars, placed, second)
 
     class_of = classes.join(final.withColumnRenamed("node", "rep"), "rep", "left").select(
         F.col("set_key").alias("ck"), F.col("n_shingles").alias("cn"), F.coalesce("component", "rep").alias("class_component")
@@ -263,6 +276,11 @@ def near_duplicates(
 
 
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One document of each group, with all its columns: the one of the least id."""
+    """One document of each group, with all its columns: the one of the least id.
+
+    An id that is not the least of its group goes with all of its texts, as they are one node.
+    Rows alike in id and text are one document, of which one row stays; so are such rows without an id.
+    """
     gone = near_duplicates(docs, id_col, text_col).filter("not kept").select(F.col("doc_id").alias("__gone_id")).distinct()
-    return docs.join(gone, docs[id_col] == F.col("__gone_id"), "left_anti")
+    kept = docs.join(gone, docs[id_col] == F.col("__gone_id"), "left_anti")
+    return kept.dropDuplicates([id_col, text_col])
