@@ -91,7 +91,10 @@ def decontaminate(
     reach = window - k
     rows = docs.select(docs[id_col].alias("doc_id"), F.coalesce(docs[text_col], F.lit("")).alias("text"))
     items = benchmark.select(benchmark[item_col].cast("string").alias("item_id"), benchmark[item_text_col].alias("text"))
-    hashed = items.select("item_id", _hashes(_words(F.col("text"))).alias("ih")).filter(F.size("ih") > 0)
+    named = items.select(F.col("item_id").alias("name"), _hashes(_words(F.col("text"))).alias("ih")).filter(F.size("ih") > 0)
+    # Items of one text are one item while they are searched for; their ids come back with the hits.
+    named = named.select("name", "ih", F.xxhash64("ih", F.size("ih")).alias("item_id"))
+    hashed = named.groupBy("item_id").agg(F.first("ih").alias("ih"))
 
     sizes = hashed.select(F.size("ih").alias("n")).agg(
         F.sum("n").alias("words"), F.collect_set(F.when(F.col("n") < window, F.col("n"))).alias("short")
@@ -136,15 +139,17 @@ def decontaminate(
             (F.col("pos") + k + F.col("b")).alias("stop"),
         )
     )
-    for n in short:
-        whole = hashed.filter(F.size("ih") == n).select("item_id", F.xxhash64(*[F.get("ih", F.lit(d)) for d in range(n)]).alias("fp"))
-        found = (
-            tokens.select("doc_id", "th", F.explode(let(F.col("h"), lambda h: _grams(h, n))).alias("g"))
-            .filter(F.col("g.fp").isNotNull())
-            .select("doc_id", "th", F.col("g.fp").alias("fp"), F.col("g.pos").alias("start"))
-            .join(hint(whole), "fp")
-        )
-        hits = hits.unionByName(found.select("doc_id", "th", "item_id", "start", (F.col("start") + n).alias("stop")))
+    if short:  # items of fewer words than a window: the words of each such length, by their hash and length, in one pass
+        whole = hashed.filter(F.size("ih") < window).select("item_id", F.size("ih").alias("n"), F.xxhash64("ih").alias("fp"))
+        found_runs = "array<struct<start:int,n:int,fp:bigint>>"
+
+        def of_length(h: Column, n: int) -> Column:
+            run = lambda i: F.struct(i.alias("start"), F.lit(n).alias("n"), F.xxhash64(F.slice(h, i + 1, n)).alias("fp"))
+            return F.when(F.size(h) >= n, F.transform(F.sequence(F.lit(0), F.size(h) - n), run)).otherwise(F.array().cast(found_runs))
+
+        runs = lambda h: F.flatten(F.array(*[of_length(h, n) for n in short]))
+        found = tokens.select("doc_id", "th", F.inline(let(F.col("h"), runs))).join(hint(whole), ["n", "fp"])
+        hits = hits.unionByName(found.select("doc_id", "th", "item_id", "start", (F.col("start") + F.col("n")).alias("stop")))
 
     def covered(spans: Column) -> Column:
         """Positions in sorted spans, counted once: what a span adds beyond the furthest end before it."""
@@ -163,10 +168,17 @@ def decontaminate(
         hits.groupBy("doc_id", "th")
         .agg(
             F.sort_array(F.collect_set(F.struct("start", "stop"))).alias("spans"),
-            F.sort_array(F.collect_set("item_id")).alias("items"),
+            F.collect_set("item_id").alias("keys"),
         )
-        .select(F.col("doc_id").alias("hit_id"), F.col("th").alias("hit_th"), covered(F.col("spans")).alias("n_hit"), "items")
+        .select(F.col("doc_id").alias("hit_id"), F.col("th").alias("hit_th"), covered(F.col("spans")).alias("n_hit"), "keys")
+    )
+    names = named.select(F.col("item_id").alias("key"), "name").distinct()
+    found_names = (
+        per_doc.select("hit_id", "hit_th", F.explode("keys").alias("key")).join(hint(names), "key")
+        .groupBy("hit_id", "hit_th").agg(F.sort_array(F.collect_set("name")).alias("items"))
+        .select(F.col("hit_id").alias("name_id"), F.col("hit_th").alias("name_th"), "items")
     )
+    per_doc = per_doc.join(found_names, per_doc["hit_id"].eqNullSafe(F.col("name_id")) & (F.col("hit_th") == F.col("name_th"))).select("hit_id", "hit_th", "n_hit", "items")
     counted = rows.select(
         "doc_id", F.xxhash64("text").alias("th"), F.size(_words(F.col("text"))).cast("long").alias("n_words")
     )
@@ -183,6 +195,7 @@ def decontaminate(
         F.sha2(F.array_join(found_items, ","), 256).alias("items_sha256"),
         ((n_hit > 0) & (100 * n_hit >= min_pct * F.col("n_words"))).alias("contaminated"),
         found_items.alias("items"),
+        "th",
     )
 
 
@@ -191,16 +204,8 @@ def _offsets(k: int, reach: int) -> list[int]:
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The documents that are not contaminated, with all their columns.
-
-    The verdict is joined on the id and the number of words; unlike texts of one id
-    that have as many words share it.
-    """
+    """The documents that are not contaminated, with all their columns; the verdict is joined on the id and a hash of the text."""
     bad = decontaminate(docs, benchmark, id_col, text_col).filter("contaminated")
-    text = F.coalesce(docs[text_col], F.lit(""))
-    marked = bad.select(F.col("doc_id").alias("__bad_id"), F.col("n_words").alias("__bad_n")).distinct()
-    return docs.join(
-        marked,
-        docs[id_col].eqNullSafe(F.col("__bad_id")) & (F.size(_words(text)) == F.col("__bad_n")),
-        "left_anti",
-    )
+    marked = bad.select(F.col("doc_id").alias("__bad_id"), F.col("th").alias("__bad_th")).distinct()
+    th = F.xxhash64(F.coalesce(docs[text_col], F.lit("")))
+    return docs.join(marked, docs[id_col].eqNullSafe(F.col("__bad_id")) & (th == F.col("__bad_th")), "left_anti")
