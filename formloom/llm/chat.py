@@ -15,7 +15,8 @@ state and many quote costs no more than its rows.
 Defined results for odd input: a null or empty text is a turn without text; rows
 with a null conversation or turn keep their text and have no parent; of repeated
 rows with one (conversation, turn) all are returned, with the parent they share; an
-empty table gives an empty table; only the four named columns are read.
+empty table gives an empty table; only the four named columns are read.  Parsed turns
+are written when the frame is built.
 """
 
 from __future__ import annotations
@@ -24,6 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .native import let
+from .shared import written
 
 _QUOTE = r"^(\s*>)+\s?"
 
@@ -88,28 +90,31 @@ def link_turns(
     turns: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text"
 ) -> DataFrame:
     """conv_id, turn, role, reply_to, n_quotes, n_linked, content: one row per input row."""
+    empty = F.array().cast("array<struct<n:int,hash:bigint,m:int,run:bigint>>")
     rows = turns.select(
         turns[conv_col].alias("conv_id"), turns[turn_col].alias("turn"), turns[role_col].alias("role"),
-        let(_lines(turns[text_col]), lambda x: F.struct(
+        F.explode(F.array(let(_lines(turns[text_col]), lambda x: F.struct(
             F.trim(F.array_join(F.transform(F.filter(x, lambda y: y["depth"] == 0), lambda y: y["body"]), "\n")).alias("content"),
-            F.filter(F.transform(F.filter(x, lambda y: y["depth"] == 0), lambda y: _normal(y["body"])), lambda y: y != "").alias("own"),
-            _words(F.transform(F.filter(x, lambda y: y["depth"] == 0), lambda y: y["body"])).alias("words"),
-            F.when(F.exists(x, lambda y: y["depth"] > 0), _passages(x)).otherwise(F.array().cast("array<struct<n:int,hash:bigint,m:int,run:bigint>>")).alias("quotes"),
-        )).alias("m"),
-    ).select("conv_id", "turn", "role", "m.content", "m.own", "m.words", "m.quotes")
+            F.when(F.exists(x, lambda y: y["depth"] > 0), _passages(x)).otherwise(empty).alias("quotes"),
+        )))).alias("m"),
+    ).select("conv_id", "turn", "role", "m.content", "m.quotes")
+    rows = written(rows, "chat-turns")  # parsed once, read by each step
     keyed = "conv_id is not null and turn is not null"
-    quotes = rows.filter(keyed).select("conv_id", "turn", F.explode("quotes").alias("q")).select("conv_id", "turn", "q.*").distinct()
+    quotes = rows.filter(keyed).filter(F.size("quotes") > 0).select("conv_id", "turn", F.inline("quotes")).distinct()
     # What a message may be quoted by: the runs of its lines as long as a passage of its conversation, and all of it.
     # A conversation without quotes posts nothing, however long it is.
     lengths = quotes.select("conv_id", "n").distinct()
-    stated = rows.filter(keyed).filter(F.size("own") > 0).select("conv_id", "turn", "own", "words")
+    lines = F.split("content", "\n")
+    stated = rows.filter(keyed).join(quotes.select("conv_id").distinct(), "conv_id", "left_semi").select(
+        "conv_id", "turn", F.filter(F.transform(lines, _normal), lambda y: y != "").alias("own"), _words(lines).alias("words")
+    ).filter(F.size("own") > 0)
     runs = (
         stated.join(lengths, "conv_id").filter(F.col("n") <= F.size("own"))
         .select("conv_id", "turn", F.explode(F.transform(
             F.sequence(F.lit(1), F.size("own") - F.col("n") + 1), lambda i: F.xxhash64(F.array_join(F.slice("own", i, F.col("n")), ""))
         )).alias("hash"))
     )
-    wholes = stated.join(lengths.select("conv_id").distinct(), "conv_id", "left_semi").select("conv_id", "turn", F.xxhash64(F.array_join("own", "")).alias("hash"))
+    wholes = stated.select("conv_id", "turn", F.xxhash64(F.array_join("own", "")).alias("hash"))
     # Runs of words as long as a passage find a part of a line or message, and lines wrapped anew.
     word_runs = (
         stated.join(quotes.select("conv_id", "m").distinct(), "conv_id").filter((F.col("m") > 0) & (F.col("m") <= F.size("words")))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .bpe import round_trip_digests
@@ -61,33 +61,42 @@ def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Three batches over all documents: inserts, deletes of exact copies, counts revised by a new tokenizer.
+    """Batches over all documents: inserts, deletes of exact copies, a new tokenizer, its counts revised; one is committed twice.
 
-    Version ``words-1`` counts runs without white space.  The revision retires it for
-    ``words-2``, which splits punctuation off.  The first batch is committed twice.
+    Version ``words-1`` counts runs without white space.  ``words-2`` takes its place and
+    splits at punctuation, which its revision counts too.  Of copies that of the least id
+    stays, a null id coming last.  Rows of one text, source and language are first counted
+    together, so neither a hot text nor a hot source meets in one task.
     """
     docs = _table(spark, sf_dir, "documents").select("doc_id", "source", "lang", F.coalesce("text", F.lit("")).alias("text"))
+    n = lambda p: F.regexp_count("text", F.lit(p)).cast("long")
     measured = docs.select(
-        "doc_id", "source", "lang", F.xxhash64("text").alias("th"), F.sha2("text", 256).alias("sha"),
-        F.regexp_count("text", F.lit(r"[^\x20\x09-\x0D]+")).cast("long").alias("w1"),
-        F.regexp_count("text", F.lit(r"[^\x20\x09-\x0D.,!?]+|[.,!?]")).cast("long").alias("w2"),
+        F.coalesce("doc_id", F.lit((1 << 63) - 1)).alias("doc_id"), "source", "lang", F.sha2("text", 256).alias("sha"),
+        n(r"[^\x20\x09-\x0D]+").alias("w1"), n(r"[^\x20\x09-\x0D.,!?]+").alias("w2"), n(r"[.,!?]").alias("marks"),
+    )
+    alike = measured.groupBy("sha", "source", "lang").agg(
+        F.count("*").alias("rows"), F.min("doc_id").alias("least"), *[F.first(c).alias(c) for c in ("w1", "w2", "marks")]
     )
-    firsts = measured.groupBy("sha").agg(F.min("doc_id").alias("first"))
-    marked = measured.join(firsts, "sha").withColumn("copy", F.col("doc_id") != F.col("first"))
-    none = F.lit(None).cast("long").alias("old_tokens")
+    alike = written(alike, "counts-alike")
+    place = F.struct("least", "source", "lang")
+    firsts = alike.groupBy(F.col("sha").alias("s")).agg(F.min(place).alias("first"))
+    marked = written(alike.join(firsts, F.col("sha") == F.col("s")).withColumn("keeps", place.eqNullSafe(F.col("first"))), "counts-marked")
 
-    def change(rows: DataFrame, kind: str, tokenizer: str, n: str) -> DataFrame:
+    def change(rows: DataFrame, kind: str, tokenizer: str, new: str, times: Column | None = None, old: Column | None = None) -> DataFrame:
         return rows.select(
-            F.lit(kind).alias("kind"), "source", "lang", F.lit(tokenizer).alias("tokenizer"), F.col(n).alias("n_tokens"), none
-        )
+            F.lit(kind).alias("kind"), "source", "lang", F.lit(tokenizer).alias("tokenizer"), F.expr(new).alias("n_tokens"),
+            (old if old is not None else F.lit(None).cast("long")).alias("old_tokens"), (times if times is not None else F.lit(1).cast("long")).alias("times"),
+        )
 
     store = Rollup(spark, f"{shared_root(spark)}/counts-{uuid.uuid4().hex[:8]}")
-    load = change(measured, "insert", "words-1", "w1")
-    kept = marked.filter("not copy")
+    load = change(marked, "insert", "words-1", "w1", F.col("rows"))
+    kept = marked.filter("keeps")
     store.commit("1-load", load)
-    store.commit("2-copies", change(marked.filter("copy"), "delete", "words-1", "w1"))
+    store.commit("2-copies", change(marked, "delete", "words-1", "w1", F.col("rows") - F.col("keeps").cast("long")))
     store.commit("1-load", load)
     store.commit("3-retokenize", change(kept, "delete", "words-1", "w1").union(change(kept, "insert", "words-2", "w2")))
+    store.compact()
+    store.commit("4-count-marks", change(kept, "revise", "words-2", "w2 + marks", old=F.col("w2")))
     return store.totals().select("level", "source", "lang", "tokenizer", "n_docs", "n_tokens")
 
 
@@ -154,12 +163,13 @@ from documents d join w on w.side = 'd' and w.id = cast(d.doc_id as varchar) lef
 with m as (
   select doc_id, source, lang, coalesce(text, '') as t from documents
 ), f as (
-  select m.*, min(doc_id) over (partition by t) as first, len(regexp_extract_all(t, '[^\x20\x09-\x0D]+')) as w1,
+  select m.*, row_number() over (partition by t order by doc_id nulls last, source nulls first, lang nulls first) as place, len(regexp_extract_all(t, '[^\x20\x09-\x0D]+')) as w1,
     len(regexp_extract_all(t, '[^\x20\x09-\x0D.,!?]+|[.,!?]')) as w2 from m
 ), x as (
-  select source, lang, 'words-1' as tokenizer, 0 as d, 0 as n from f
-  union all
-  select source, lang, 'words-2', 1, w2 from f where doc_id = first
+  select source, lang, 'words-1' as tokenizer, 1 as d, w1 as n from f
+  union all select source, lang, 'words-1', -1, -w1 from f where place > 1
+  union all select source, lang, 'words-1', -1, -w1 from f where place = 1
+  union all select source, lang, 'words-2', 1, w2 from f where place = 1
 ), g as (
   select source, lang, tokenizer, sum(d) as n_docs, sum(n) as n_tokens from x group by all
 )
