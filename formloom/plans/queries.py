@@ -233,9 +233,9 @@ def promote_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @_query("""select l_orderkey as doc, round(max(n) over (partition by l_orderkey) * 0 + n / max(n) over (partition by l_orderkey), 4) as density, cell from
-(select l_orderkey, cast(least(7, floor((l_linenumber * 90 + 5) / 800.0 * 8)) * 10 + least(9, floor(((l_partkey % 50) * 10 + 20) / 600.0 * 10)) as integer) as cell, sum(length('Part ' || l_partkey))::double as n from lineitem group by all)""")
+(select l_orderkey, cast(least(7, floor(round(l_linenumber * 90 / 800.0, 4) * 8)) * 10 + least(9, floor(round((l_partkey % 50) * 13 / 600.0, 4) * 10)) as integer) as cell, sum(length('Part ' || l_partkey))::double as n from lineitem group by all)""")
 def zone_density(spark: SparkSession, sf_dir: str) -> DataFrame:
-    x, y = (F.col("l_partkey") % 50) * 10.0, F.col("l_linenumber") * 90.0
+    x, y = (F.col("l_partkey") % 50) * 13.0, F.col("l_linenumber") * 90.0
     words = table(spark, sf_dir, "lineitem").select(
         F.col("l_orderkey").alias("doc"), F.lit(1).alias("page_number"), F.lit(600.0).alias("page_width"), F.lit(800.0).alias("page_height"),
         F.concat(F.lit("Part "), F.col("l_partkey").cast("string")).alias("text"), x.alias("x0"), (x + 40).alias("x1"), y.alias("top"), (y + 10).alias("bottom"),
