@@ -101,7 +101,7 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     A pair travels with the set of ``rep``; that of a hub, which many pairs may share, goes
     once to each of its salts, over which its pairs are dealt.
     """
-    salted = pairs.withColumn("salt", F.pmod(F.xxhash64("rep"), F.lit(SALTS)).cast("int"))
+    salted = written(pairs.withColumn("salt", F.pmod(F.xxhash64("rep"), F.lit(SALTS)).cast("int")), "pairs")  # read twice
     mine = sets.select(F.col("doc_id").alias("rep"), F.col("set").alias("a"))
     other = salted.select(F.col("hub").alias("h"), F.col("salt").alias("s")).distinct().join(
         sets.select(F.col("doc_id").alias("h"), F.col("set").alias("b")), "h"
