@@ -2,6 +2,12 @@
 
 Each stage takes ``(spark, docs, sf_dir)`` and returns a DataFrame that is written
 as Parquet and read again as the next one's ``docs``.
+
+Defined results for odd input: a null or empty text fails the quality rules; a document
+without an id is kept or dropped by its text alone and is near no other; rows alike in id
+and text are one document after the second stage; unlike texts under one id stay apart,
+but go together where their id is not the least of its group; an empty table gives an
+empty table; further columns pass through all stages but the last, whatever their names.
 """
 
 from __future__ import annotations
@@ -18,7 +24,7 @@ from formloom.llm.shared import written
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Lines that fail go, documents that the quality rules reject go."""
+    """Lines that fail are taken out of the texts, documents that the quality rules reject go."""
     return clean_documents(docs)
 
 
@@ -50,7 +56,7 @@ STAGES = [
     ("byte_bpe", encoding_stage),
 ]
 
-#: Near-duplicate components, the network's findings and BPE are not expressible in SQL; tests hold each stage to brute force.
+#: The line rules, the network's findings and BPE are not expressible in SQL; tests/llm/test_pipeline.py holds each stage to plain Python.
 ORACLE_SQL = None
 
 
