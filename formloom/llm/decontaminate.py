@@ -173,12 +173,10 @@ def decontaminate(
         .select(F.col("doc_id").alias("hit_id"), F.col("th").alias("hit_th"), covered(F.col("spans")).alias("n_hit"), "keys")
     )
     names = named.select(F.col("item_id").alias("key"), "name").distinct()
-    found_names = (
-        per_doc.select("hit_id", "hit_th", F.explode("keys").alias("key")).join(hint(names), "key")
-        .groupBy("hit_id", "hit_th").agg(F.sort_array(F.collect_set("name")).alias("items"))
-        .select(F.col("hit_id").alias("name_id"), F.col("hit_th").alias("name_th"), "items")
+    per_doc = (
+        per_doc.select("hit_id", "hit_th", "n_hit", F.explode("keys").alias("key")).join(hint(names), "key")
+        .groupBy("hit_id", "hit_th", "n_hit").agg(F.sort_array(F.collect_set("name")).alias("items"))
     )
-    per_doc = per_doc.join(found_names, per_doc["hit_id"].eqNullSafe(F.col("name_id")) & (F.col("hit_th") == F.col("name_th"))).select("hit_id", "hit_th", "n_hit", "items")
     counted = rows.select(
         "doc_id", F.xxhash64("text").alias("th"), F.size(_words(F.col("text"))).cast("long").alias("n_words")
     )
