@@ -114,6 +114,15 @@ def py_float(v: Column) -> Column:
     return F.when(F.contains(text, F.lit("E")) & F.abs(v).between(1e-4, 9.999999999999998e15), plain).otherwise(text)
 
 
+def one_decimal(v: Column) -> Column:
+    """A number from 0 up to 10**12 with one decimal as Python and C write it: by its binary value, exact ties to the even digit."""
+    tenths = F.floor(v * 10)
+    # 20 * v less the odd number 2 * tenths + 1, in two steps of which neither loses the sign.
+    over = (v * 16 - (tenths * 2 + 1)) + v * 4
+    rounded = tenths + F.when((over > 0) | ((over == 0) & (tenths % 2 == 1)), 1).otherwise(0)
+    return F.concat(F.floor(rounded / 10).cast("string"), F.lit("."), (rounded % 10).cast("string"))
+
+
 def to_number(v: Column) -> Column:
     """The number that a text means without commas and dollar signs, as Python's float reads it; null if it is none."""
     bare = strip(F.regexp_replace(strip(v), "[,$]", ""))

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.text import PY_FLOAT, strip
+from ..functions.text import PY_FLOAT, one_decimal, strip
 from .extract import MONEY_FIELDS
 from .provenance import model_used
 from .summaries import template_hit
@@ -45,7 +45,7 @@ def summary_rows(rows: DataFrame, completeness: Column) -> DataFrame:
 
 def review_rate(counts: DataFrame, documents: str = "documents", corrections: str = "corrections") -> Column:
     """Corrections as a percentage of documents, a dash without documents."""
-    return F.when(F.col(documents) > 0, F.format_string("%.1f%%", F.col(corrections) / F.col(documents) * 100)).otherwise("—")
+    return F.when(F.col(documents) > 0, F.concat(one_decimal(F.col(corrections) * 100.0 / F.col(documents)), F.lit("%"))).otherwise("—")
 
 
 def form_values(rows: DataFrame, fields: list[str]) -> DataFrame:

@@ -116,3 +116,12 @@ def test_whole_tables_are_matched_and_reported(spark):
     for name, source in (("template_match", "embeddings"), ("business_report", "orders")):
         whole = spark.read.parquet(f"/root/testdata/sf0.001/{source}.parquet")
         assert entry.queries()[name](spark, "/root/testdata/sf0.001").count() == whole.count()
+
+
+def test_rates_are_rounded_by_their_binary_value(spark):
+    from formloom.operators import batch
+
+    pairs = [(c, n) for n in range(1, 161) for c in range(n + 1)] + [(7, 2000), (1, 10**11), (10**11 - 1, 10**11), (0, 0)]
+    rows = spark.createDataFrame(pairs, "corrections long, documents long")
+    got = rows.select("corrections", "documents", batch.review_rate(rows).alias("r")).collect()
+    assert [tuple(x) for x in got if x["r"] != (f"{x[0] * 100 / x[1]:.1f}%" if x[1] else "—")] == []
