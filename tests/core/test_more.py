@@ -125,3 +125,17 @@ def test_rates_are_rounded_by_their_binary_value(spark):
     rows = spark.createDataFrame(pairs, "corrections long, documents long")
     got = rows.select("corrections", "documents", batch.review_rate(rows).alias("r")).collect()
     assert [tuple(x) for x in got if x["r"] != (f"{x[0] * 100 / x[1]:.1f}%" if x[1] else "—")] == []
+
+
+def test_review_rate_of_repeated_and_null_keys(spark, tmp_path):
+    from formloom.plans import batch_queries  # noqa: F401
+
+    spark.createDataFrame([(1,), (1,), (2,), (None,), (None,), (3,)], "c_custkey long").write.parquet(f"{tmp_path}/customer.parquet")
+    orders = [(4 * i if i < 3 else 4 * i + 1, 1) for i in range(16)] + [(None, 1), (None, 2), (8, None), (-4, 3), (-3, 3)]
+    spark.createDataFrame(orders, "o_orderkey long, o_custkey long").write.parquet(f"{tmp_path}/orders.parquet")
+    con = duckdb.connect()
+    for t in ("orders", "customer"):
+        con.execute(f"create view {t} as select * from '{tmp_path}/{t}.parquet/*.parquet'")
+    want = con.execute(ORACLE_SQL["review_rate"]).fetchall()
+    got = [(r["o_custkey"], r["review_rate"]) for r in QUERIES["review_rate"](spark, str(tmp_path)).collect()]
+    assert sorted(got, key=str) == sorted(want, key=str) and (1, "18.8%") in got
