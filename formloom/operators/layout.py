@@ -92,8 +92,12 @@ def _one_each(pairs: Column, at: int) -> Column:
 def colon_pair(text: Column) -> Column:
     """Label and value around the first colon of a row, as an array of one or none."""
     p = r"(?d)^(.+?)\s*:\s*(.+)\s*$"
-    pair = _pair(normalise_label(F.regexp_extract(strip(text), p, 1)), strip(F.regexp_extract(strip(text), p, 2)))
-    return F.filter(F.array(pair), lambda x: (x["label"] != "") & (x["value"] != ""))
+
+    def pairs(t):
+        pair = _pair(normalise_label(F.regexp_extract(t, p, 1)), strip(F.regexp_extract(t, p, 2)))
+        return F.when(F.contains(t, F.lit(":")), F.filter(F.array(pair), lambda x: (x["label"] != "") & (x["value"] != ""))).otherwise(F.array().cast(_PAIRS))
+
+    return let(strip(text), pairs)
 
 
 def several_pairs(text: Column) -> Column:
@@ -102,8 +106,9 @@ def several_pairs(text: Column) -> Column:
     def pairs(t):
         labels = F.transform(F.regexp_extract_all(t, F.lit(_KNOWN), F.lit(1)), normalise_label)
         values = let(F.split(t, _KNOWN), lambda vs: F.transform(F.slice(vs, F.lit(2), F.size(vs)), strip))
-        both = F.zip_with(labels, values, _pair)
-        return F.when(F.size(labels) >= 2, F.filter(both, lambda x: x["value"].rlike("[a-zA-Z0-9]"))).otherwise(F.array().cast(_PAIRS))
+        several = let(labels, lambda ls: F.when(F.size(ls) >= 2, F.filter(F.zip_with(ls, values, _pair), lambda x: x["value"].rlike("[a-zA-Z0-9]"))))
+        # Each label has a colon of its own: most rows have fewer than two and need no search.
+        return F.coalesce(F.when(t.like("%:%:%"), several), F.array().cast(_PAIRS))
 
     return _one_each(let(strip(text), pairs), -1)
 
@@ -159,17 +164,23 @@ def fields_by_anchors(rows: Column, width: Column, height: Column, anchors: Colu
     anchor counts that has its label, or any row near one without a label.
     """
 
+    def near(r, a):
+        return (F.abs(r["x"] - a["norm_x"]) <= x_tol) & (F.abs(r["y"] - a["norm_y"]) <= y_tol)
+
     def value(a, r):
         label = F.coalesce(a["label_text"], F.lit(""))
-        near = (F.abs(normalised(r["x0"], width) - a["norm_x"]) <= x_tol) & (F.abs(normalised(r["top"], height) - a["norm_y"]) <= y_tol)
+        exact = F.get(F.filter(r["pairs"], lambda p: p["label"] == label), F.lit(0))["value"]
+        there = (label == "") | F.contains(r["lower"], F.lower(label))
+        return F.when(near(r, a), F.when((label != "") & exact.isNotNull(), exact).when(there, r["first"]))
 
-        def pick(ps):
-            exact = F.get(F.filter(ps, lambda p: p["label"] == label), F.lit(0))["value"]
-            first = F.coalesce(F.get(ps, F.lit(0))["value"], strip(r["text"]))
-            there = (label == "") | F.contains(F.lower(r["text"]), F.lower(label))
-            return F.when(near & (label != "") & exact.isNotNull(), exact).when(near & there, first)
+    def read(r):
+        first = lambda ps: F.coalesce(F.get(ps, F.lit(0))["value"], strip(r["text"]))
+        return let(row_pairs(r["text"]), lambda ps: F.struct(r["x"].alias("x"), r["y"].alias("y"), F.lower(r["text"]).alias("lower"), ps.alias("pairs"), first(ps).alias("first")))
 
-        return let(row_pairs(r["text"]), pick)
+    def values(read_rows):
+        return F.transform(anchors, lambda a: _pair(a["field"], F.get(F.filter(F.transform(read_rows, lambda r: value(a, r)), lambda v: v.isNotNull()), F.lit(0))))
 
-    found = F.transform(anchors, lambda a: _pair(a["field"], F.get(F.filter(F.transform(rows, lambda r: value(a, r)), lambda v: v.isNotNull()), F.lit(0))))
+    # A row is read once, for all anchors, and only if one of them is near.
+    placed = F.transform(rows, lambda r: F.struct(normalised(r["x0"], width).alias("x"), normalised(r["top"], height).alias("y"), r["text"].alias("text")))
+    found = let(F.transform(F.filter(placed, lambda r: F.exists(anchors, lambda a: near(r, a))), read), values)
     return F.map_from_entries(_one_each(F.filter(found, lambda p: (p["label"] != "") & p["value"].isNotNull()), -1))

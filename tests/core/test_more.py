@@ -139,3 +139,21 @@ def test_review_rate_of_repeated_and_null_keys(spark, tmp_path):
     want = con.execute(ORACLE_SQL["review_rate"]).fetchall()
     got = [(r["o_custkey"], r["review_rate"]) for r in QUERIES["review_rate"](spark, str(tmp_path)).collect()]
     assert sorted(got, key=str) == sorted(want, key=str) and (1, "18.8%") in got
+
+
+def test_pages_of_a_small_file_are_read_once_by_many_tasks(spark):
+    got = QUERIES["layout_anchors"](spark, SF)
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("aggregate(") == plan.count("regexp_extract_all(") == 1
+    assert got.rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
+
+
+def test_fields_by_anchors_of_odd_pages(spark):
+    word, anchor = "array<struct<text:string,x0:double,top:double,x1:double,bottom:double>>", "array<struct<field:string,label_text:string,norm_x:double,norm_y:double>>"
+    words = [("PO Number: 7 Vendor: A Vendor: B", 0.0, 10.0, 90.0, 20.0), (":", 0.0, 100.0, 9.0, 110.0), ("plain", 0.0, 200.0, 9.0, 210.0), ("Due Date: x", 300.0, 300.0, 400.0, 310.0)]
+    at = [("a", "vendor", 0.0, 0.01), ("b", "", 0.0, 0.01), ("c", "number", 0.05, 0.02), ("d", None, 0.0, 0.1), ("e", "PLAIN", 0.0, 0.2), ("f", "due date", 0.0, 0.3), ("g", "none", 0.0, 0.2), ("a", "", 0.0, 0.2), ("", "", 0.0, 0.2), ("h", "", None, 0.2)]
+    rows = spark.createDataFrame([(1, words, at), (2, [], at), (3, None, at), (4, words, []), (5, words, None)], f"i long, w {word}, a {anchor}")
+    pages = rows.select("i", "a", layout.page_rows(F.col("w")).alias("rows"))
+    got = {r["i"]: r["f"] for r in pages.select("i", layout.fields_by_anchors(F.col("rows"), F.lit(1000.0), F.lit(1000.0), F.col("a")).alias("f")).collect()}
+    assert got == {1: {"a": "plain", "b": "7", "c": "7", "d": ":", "e": "plain"}, 2: {}, 3: {}, 4: {}, 5: None}
+    assert [tuple(p) for p in one(spark, " Vendor : x: y ", layout.row_pairs)] == [("vendor", "x: y")] and one(spark, None, layout.row_pairs) == []
