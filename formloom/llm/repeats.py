@@ -4,11 +4,12 @@ Only strings of at least ``least`` bytes matter, so the corpus need not meet in
 suffix array.  Each window of that many bytes is filed under the smallest hash of the
 grams in it: equal windows have equal ones.  Neighbouring windows filed under one gram
 form a segment, of at most as many windows as a gram can lie in, so periodic text gives
-segments of about twice its bytes.  Segments whose gram occurs once in the corpus cannot
-repeat.  Equal segments, equal in the hash of their gram and a hash of all their bytes,
-are summed up first: all but the earliest are repeats throughout.  The earliest ones of
-each gram are compared by interval expansion on a Burrows-Wheeler transform (``bwt``),
-many grams to a block.  A gram with more unlike segments than ``bucket`` would make a
+segments of about twice its bytes.  A segment whose gram no other has can only repeat
+itself, which takes the gram twice in it.  Equal segments, equal in the hash of their gram
+and a hash of all their bytes, are summed up first: all but the earliest are repeats
+throughout.  The earliest ones of each gram are compared, with each other and in
+themselves, by interval expansion on a Burrows-Wheeler transform (``bwt``), many grams to
+a block.  A gram with more unlike segments than ``bucket`` would make a
 block of any size, so its windows are hashed and grouped instead, which gives the same.
 
 A text is known by its id and a hash.  Building the frame runs jobs: each step is a table
@@ -51,9 +52,10 @@ def _power(base: int, name: str, n: int) -> np.ndarray:
 
 
 def segments(texts: list[bytes], least: int) -> tuple[np.ndarray, ...]:
-    """(text, gram hash, segment hash, start, stop, first) of the segments of some texts.
+    """(text, gram hash, segment hash, start, stop, kind) of the segments of some texts.
 
-    ``first`` is false for a segment that its own text has before, byte for byte.
+    The kind is 0 for a segment that its own text has before, byte for byte, 2 for another
+    one that may hold a window twice, and else 1.
     """
     parts: list[list[np.ndarray]] = []
     block: list[tuple[int, int, bytes]] = []
@@ -69,13 +71,13 @@ def segments(texts: list[bytes], least: int) -> tuple[np.ndarray, ...]:
     if block:
         parts.append(_block(block, least))
     if not parts:
-        return tuple(np.zeros(0, np.int64) for _ in range(5)) + (np.zeros(0, bool),)
-    owner, fp, sh, start, stop = (np.concatenate(x) for x in zip(*parts, strict=True))
+        return tuple(np.zeros(0, np.int64) for _ in range(5)) + (np.zeros(0, np.int8),)
+    owner, fp, sh, start, stop, inner = (np.concatenate(x) for x in zip(*parts, strict=True))
     order = np.lexsort((start, sh, owner))
     again = (owner[order][1:] == owner[order][:-1]) & (sh[order][1:] == sh[order][:-1])
-    first = np.ones(len(owner), dtype=bool)
-    first[order[1:]] = ~again
-    return owner, fp, sh, start, stop, first
+    kind = 1 + inner.astype(np.int8)
+    kind[order[1:][again]] = 0
+    return owner, fp, sh, start, stop, kind
 
 
 def _block(pieces: list[tuple[int, int, bytes]], least: int) -> list[np.ndarray]:
@@ -84,7 +86,7 @@ def _block(pieces: list[tuple[int, int, bytes]], least: int) -> list[np.ndarray]
     sums = np.zeros(n + 1, dtype=np.uint64)
     np.cumsum(_VALUE[data] * _power(_R, "up", n), out=sums[1:])
     back = _power(pow(_R, -1, 1 << 64), "down", n)
-    low = mix((sums[GRAM:] - sums[: n - GRAM + 1]) * back[: n - GRAM + 1])
+    grams = low = mix((sums[GRAM:] - sums[: n - GRAM + 1]) * back[: n - GRAM + 1])
     width, reach = 1, least - GRAM + 1
     while width < reach:  # minima of windows by doubling
         step = min(width, reach - width)
@@ -100,31 +102,35 @@ def _block(pieces: list[tuple[int, int, bytes]], least: int) -> list[np.ndarray]
     new[1:] = (gram[1:] != gram[:-1]) | (piece[1:] != piece[:-1])
     runs = np.flatnonzero(new)
     inside = np.arange(len(at)) - np.repeat(runs, np.diff(np.append(runs, len(at))))
-    cut = np.flatnonzero(inside % reach == 0)
+    heads = inside % reach == 0
+    cut = np.flatnonzero(heads)
+    # Where a segment holds a window twice, one of its windows starts with the gram, and the next one has that gram again.
+    twice = (grams[at] == gram) & ~np.append(heads[1:], True)
     start = at[cut]
     stop = at[np.append(cut[1:], len(at)) - 1] + least
     whole = mix((sums[stop] - sums[start]) * back[start] + (stop - start).astype(np.uint64) * np.uint64(_R))
     piece = piece[cut]
     shift = np.array([x for _, x, _ in pieces])[piece] - begin[piece]
     owner = np.array([i for i, _, _ in pieces])[piece]
-    return [owner, gram[cut].view(np.int64), whole.view(np.int64), start + shift, stop + shift]
+    inner = np.logical_or.reduceat(twice, cut)
+    return [owner, gram[cut].view(np.int64), whole.view(np.int64), start + shift, stop + shift, inner]
 
 
 def _all_segments(texts: DataFrame, least: int) -> DataFrame:
-    """doc, th, fp, sh, start, stop, first of ``texts(doc, th, text)``."""
+    """doc, th, fp, sh, start, stop, kind of ``texts(doc, th, text)``."""
 
     def run(batches):
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)
-                owner, fp, sh, start, stop, first = segments([x.as_py() or b"" for x in part[2]], least)
+                owner, fp, sh, start, stop, kind = segments([x.as_py() or b"" for x in part[2]], least)
                 place = pa.array(owner)
-                columns = [pa.array(fp), pa.array(sh), pa.array(start, pa.int32()), pa.array(stop, pa.int32()), pa.array(first)]
+                columns = [pa.array(fp), pa.array(sh), pa.array(start, pa.int32()), pa.array(stop, pa.int32()), pa.array(kind)]
                 yield pa.RecordBatch.from_arrays(
-                    [part[0].take(place), part[1].take(place), *columns], ["doc", "th", "fp", "sh", "start", "stop", "first"]
+                    [part[0].take(place), part[1].take(place), *columns], ["doc", "th", "fp", "sh", "start", "stop", "kind"]
                 )
 
-    return texts.select("doc", "th", "text").mapInArrow(run, "doc long, th long, fp long, sh long, start int, stop int, first boolean")
+    return texts.select("doc", "th", "text").mapInArrow(run, "doc long, th long, fp long, sh long, start int, stop int, kind byte")
 
 
 def _compared(rows: DataFrame, least: int) -> DataFrame:
@@ -177,22 +183,22 @@ def remove_repeats(
     )
     place = ["doc", "th", "start"]
     cut = written(_all_segments(rows.filter(F.octet_length("text") >= least), least), "cut")
-    shared = cut.groupBy("fp").agg(F.count("*").alias("n")).filter("n > 1").select("fp")
+    shared = cut.groupBy("fp").agg(F.count("*").alias("n"), F.max("kind").alias("kind")).filter("n > 1 or kind = 2").select("fp")
     found = written(cut.join(shared, "fp", "left_semi"), "segments")
     drop_written(cut)
-    groups = found.filter("first").groupBy("fp", "sh").agg(
-        F.min(F.struct(*place, "stop")).alias("e"), F.count("*").alias("n")
+    groups = found.filter("kind > 0").groupBy("fp", "sh").agg(
+        F.min(F.struct(*place, "stop")).alias("e"), F.count("*").alias("n"), F.max("kind").alias("kind")
     )
-    groups = written(groups.select("fp", "sh", "e.*", "n"), "groups")
+    groups = written(groups.select("fp", "sh", "e.*", "n", "kind"), "groups")
     # All but the earliest of equal segments are repeats throughout.
     earliest = groups.filter("n > 1").select("fp", "sh", *[F.col(c).alias(f"e_{c}") for c in place])
     unlike_place = (F.col("doc") != F.col("e_doc")) | (F.col("th") != F.col("e_th")) | (F.col("start") != F.col("e_start"))
     span = ["doc", "th", *[F.col(c).cast("long").alias(c) for c in ("start", "stop")]]
-    elsewhere = found.filter("first").join(earliest, ["fp", "sh"]).filter(unlike_place).select(*span)
-    again = written(elsewhere.union(found.filter("not first").select(*span)), "again")
+    elsewhere = found.filter("kind > 0").join(earliest, ["fp", "sh"]).filter(unlike_place).select(*span)
+    again = written(elsewhere.union(found.filter("kind = 0").select(*span)), "again")
     drop_written(found)
-    many = groups.groupBy("fp").agg(F.count("*").alias("unlike")).filter("unlike > 1")
-    pieces = groups.drop("n").join(many, "fp").join(rows.select("doc", "th", "text"), ["doc", "th"]).select(
+    many = groups.groupBy("fp").agg(F.count("*").alias("unlike"), F.max("kind").alias("kind")).filter("unlike > 1 or kind = 2").drop("kind")
+    pieces = groups.drop("n", "kind").join(many, "fp").join(rows.select("doc", "th", "text"), ["doc", "th"]).select(
         "fp", *place, F.substring("text", F.col("start") + 1, F.col("stop") - F.col("start")).alias("bytes"), "unlike"
     )
     pieces = written(pieces, "pieces")

@@ -40,3 +40,25 @@ def test_repeated_and_null_ids(spark):
     assert by_size[(2, 170)]["n_removed"] == 150
     assert by_size[(None, 201)]["n_removed"] == 200
     assert by_size[(None, 0)]["n_spans"] == 0
+
+
+@pytest.mark.parametrize("bucket", [1, 20_000])
+def test_texts_that_repeat_only_themselves(spark, bucket):
+    """Windows that repeat inside the only segment of a gram, or the only unlike one."""
+    line = "".join(chr(c) for c in range(65, 91)) * 2
+    texts = ["z" * 120, "x" * 168, "w" * 444, "-=" * 51, "v" * 150, "v" * 150, f"{line}{'_' * 130}{line[::-1]}", "0123456789" * 12, "u" * 100]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {x["doc_id"]: x for x in repeats.remove_repeats(docs, bucket=bucket).collect()}
+    for i, want in enumerate(brute_repeats(texts)):
+        assert tuple(got[i][c] for c in FIELDS) == want, i
+
+
+def test_segments_that_repeat_themselves_are_marked():
+    r = random.Random(7)
+    for _ in range(200):
+        unit = "".join(r.choice("ab") for _ in range(r.randint(1, 90)))
+        text = ("".join(r.choice("cdef") for _ in range(50)) + (unit * 200)[: r.randint(20, 300)]).encode()
+        _, _, _, start, stop, kind = repeats.segments([text], 100)
+        for a, b, k in zip(start, stop, kind, strict=True):
+            windows = [text[i : i + 100] for i in range(a, b - 99)]
+            assert k != 1 or len(set(windows)) == len(windows)
